@@ -20,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -45,6 +58,23 @@ def op7_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    out = media.read_frames(media.store_as_gif(table(spark, sf_dir, "documents")))
+    bins = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), media.BINS), lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.to_json(F.struct(F.size("frames").alias("frames"), F.aggregate("frames", F.lit(0), lambda a, f: a + f["delay_ms"]).alias("ms"), bins.alias("colours"))).alias("feature"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokencount
 
@@ -55,9 +85,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality,
         op2_bpe_round_trip,
         op6_line_dedup,
         op7_pack_documents,
+        op8_gif_media,
         op9_token_counts,
     )
 }
