@@ -45,6 +45,18 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import forest
+
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
@@ -87,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality,
         op2_bpe_round_trip,
+        op4_near_duplicates,
+        op5_nearest_vectors,
         op6_line_dedup,
         op7_pack_documents,
         op8_gif_media,
