@@ -45,6 +45,12 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality,
         op2_bpe_round_trip,
+        op3_pii_surrogates,
         op4_near_duplicates,
         op5_nearest_vectors,
         op6_line_dedup,
