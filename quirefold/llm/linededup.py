@@ -65,25 +65,43 @@ def shared_lines(docs: DataFrame, least: int = 10, threshold: int = 2) -> DataFr
     return keys.join(held, ["high", "low"]).where("doc_id <> keeper").select("doc_id", "high", "low")
 
 
-def drop_shared_lines(docs: DataFrame, least: int = 10, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text (the lines that stay), n_lines (before), n_dropped."""
+_COUNTS = pa.schema([("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+
+
+def drop_shared_lines_in_place(docs: DataFrame, least: int = 10, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all their columns, with the lines that stay, n_lines (before) and n_dropped.
+
+    Columns of those two names in the input are replaced.
+    """
     arrow_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lost = shared_lines(docs, least, threshold).groupBy("doc_id").agg(F.collect_set(F.struct("high", "low")).alias("lost"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+    names = [c for c in docs.columns if c not in _COUNTS.names]
+    docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c == text_col else F.col(c) for c in names])
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    lost = shared_lines(keyed, least, threshold).groupBy("doc_id").agg(F.collect_set(F.struct("high", "low")).alias("lines_lost"))
+    joined = docs.join(lost.withColumnRenamed("doc_id", "lines_id"), F.col(id_col).cast("long") == F.col("lines_id"), "left").select(*names, "lines_lost")
+    at = names.index(text_col)
 
     def run(batches):
-        for t in by_size(batches, limit=4_000_000):
-            out = {n: [] for n in schema.names}
-            for doc_id, text, lost in zip(*(t[n].to_pylist() for n in ("doc_id", "text", "lost"))):
+        for t in by_size(batches, text_col, limit=4_000_000):
+            texts, before, dropped = [], [], []
+            for text, lost in zip(t.column(at).to_pylist(), t["lines_lost"].to_pylist()):
                 lines = text.split("\n")
                 stay = lines
                 if lost:
                     gone = {(x["high"], x["low"]) for x in lost}
                     stay = [x for x in lines if line_key(x.encode(), least) not in gone]
                     text = "\n".join(stay)
-                for n, v in zip(schema.names, (doc_id, text, len(lines), len(lines) - len(stay))):
-                    out[n].append(v)
-            yield from emit(out, schema)
+                texts.append(text)
+                before.append(len(lines))
+                dropped.append(len(lines) - len(stay))
+            t = t.drop_columns(["lines_lost"]).set_column(at, pa.field(text_col, pa.string()), pa.array(texts, pa.string()))
+            yield from t.append_column(_COUNTS.field(0), pa.array(before, pa.int64())).append_column(_COUNTS.field(1), pa.array(dropped, pa.int64())).to_batches()
+
+    out = docs.select(*names).withColumns({n: F.lit(0).cast("long") for n in _COUNTS.names}).schema
+    return joined.mapInArrow(run, out)
+
 
-    return docs.join(lost, "doc_id", "left").mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
+def drop_shared_lines(docs: DataFrame, least: int = 10, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, text (the lines that stay), n_lines (before), n_dropped."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return drop_shared_lines_in_place(docs, least, threshold)
