@@ -10,8 +10,8 @@ earliest dart.  Two texts agree in a coordinate with the probability of their
 weighted Jaccard similarity.
 
 Signatures are banded.  Exact copies are one representative from the start.
-In every bucket one member, drawn by hash, is compared with the rest; the
-accepted links make classes, and only pairs of different classes are looked at
+In every bucket one member, the one with most company in all its buckets, is
+compared with the rest; the accepted links make classes, and only pairs of different classes are looked at
 again, with more members compared in each round, until no bucket holds a pair
 of different classes that was not compared.  So no candidate is left out and a
 bucket of one class, however large, costs one comparison a member.
@@ -177,8 +177,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     single = signed_docs.groupBy("doc_id").agg(F.min(F.struct("high", "low", "bands")).alias("s")).select("doc_id", "s.*") if _repeats(signed_docs) else signed_docs
     reps = durable(single.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
     entries = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    entries = durable(entries.join(shared, "bucket").distinct())
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = durable(entries.join(shared, "bucket").groupBy("bucket", "rep").agg(F.max("n").alias("n")))
+    # What has most company in its buckets is nearest to the middle of its group and links most of it.
+    central = entries.groupBy("rep").agg(F.sum("n").alias("company"))
+    entries = durable(entries.join(central, "rep").select("bucket", "rep", F.struct(-F.col("company"), F.xxhash64("rep"), F.col("rep")).alias("draw")))
 
     rep_texts = texts.withColumnRenamed("doc_id", "rep")
     if _repeats(signed_docs):
@@ -186,17 +189,17 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rep_texts = durable(rep_texts.join(entries.select("rep").distinct(), "rep", "left_semi"))
     links = labels = None
     done, leaders = 0, 1
-    open_ = entries.select("bucket", "rep", F.col("rep").alias("label"))
+    open_ = entries.select("bucket", "rep", "draw", F.col("rep").alias("label"))
     while True:
-        # Members in an order of the bucket's own; the first ``leaders`` are compared with all after them.
-        drawn = open_.withColumn("draw", F.xxhash64("rep", "bucket"))
+        # The first ``leaders`` members of a bucket are compared with all after them.
+        drawn = open_
         heads = drawn.groupBy("bucket").agg(F.min_by("rep", "draw").alias("a"), F.min("draw").alias("a_draw"), F.min_by("label", "draw").alias("a_label")) if leaders == 1 else _heads(drawn, done, leaders)
         pairs = drawn.join(heads, "bucket").where("draw > a_draw AND label <> a_label")
         pairs = durable(pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
         new = durable(_verified(pairs, rep_texts))
         links = new if links is None else durable(links.union(new))
         labels = components(links)
-        known = entries.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+        known = entries.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", "draw", F.coalesce("label", "rep").alias("label"))
         mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where(f"x <> y AND n > {leaders + 1}").select("bucket")
         open_ = durable(known.join(mixed, "bucket"))
         if open_.isEmpty():
