@@ -11,11 +11,13 @@ weighted Jaccard similarity.
 
 Signatures are banded.  Exact copies are one representative from the start.
 In every bucket one member, the one with most company in all its buckets, is
-compared with the rest; the accepted links make classes, and only pairs of different classes are looked at
-again, with more members compared in each round, until no bucket holds a pair
-of different classes that was not compared.  So no candidate is left out and a
-bucket of one class, however large, costs one comparison a member.
-Comparisons are exact: a link needs a Jaccard similarity of 0.8 or more,
+compared with the rest, and the accepted links make classes.  A bucket of one
+class, however large, is then done.  Buckets that still hold several classes
+are mostly texts around one common passage.  Their members are searched
+exactly: texts of similarity 0.8 share one of their rarest runs, of each the
+fifth that is rarest among these members, so members are grouped by those runs
+and pairs of different classes are compared, with more members in each round,
+until none is left.  No candidate is dropped.  Comparisons are exact: a link needs a Jaccard similarity of 0.8 or more,
 either of the sets or of the multisets of five-word runs.
 
 With 40 bands of 6, a pair at exactly 0.8 shares no bucket with probability
@@ -187,30 +189,79 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if _repeats(signed_docs):
         rep_texts = rep_texts.groupBy("rep").agg(F.min("text").alias("text"))
     rep_texts = durable(rep_texts.join(entries.select("rep").distinct(), "rep", "left_semi"))
+    order = entries.select("rep", "draw").distinct()
     links = labels = None
     done, leaders = 0, 1
     open_ = entries.select("bucket", "rep", "draw", F.col("rep").alias("label"))
+    exact = False
     while True:
         # The first ``leaders`` members of a bucket are compared with all after them.
-        drawn = open_
-        heads = drawn.groupBy("bucket").agg(F.min_by("rep", "draw").alias("a"), F.min("draw").alias("a_draw"), F.min_by("label", "draw").alias("a_label")) if leaders == 1 else _heads(drawn, done, leaders)
-        pairs = drawn.join(heads, "bucket").where("draw > a_draw AND label <> a_label")
+        heads = open_.groupBy("bucket").agg(F.min_by("rep", "draw").alias("a"), F.min("draw").alias("a_draw"), F.min_by("label", "draw").alias("a_label")) if leaders == 1 else _heads(open_, done, leaders)
+        pairs = open_.join(heads, "bucket").where("draw > a_draw AND label <> a_label")
         pairs = durable(pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
         new = durable(_verified(pairs, rep_texts))
         links = new if links is None else durable(links.union(new))
         labels = components(links)
-        known = entries.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", "draw", F.coalesce("label", "rep").alias("label"))
-        mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where(f"x <> y AND n > {leaders + 1}").select("bucket")
-        open_ = durable(known.join(mixed, "bucket"))
+        open_ = durable(_mixed(entries, labels, leaders + 1))
         if open_.isEmpty():
             break
-        done, leaders = leaders, 4 * leaders
+        if exact:
+            done, leaders = leaders, 4 * leaders
+        else:
+            exact = True
+            some = rep_texts.join(open_.select("rep").distinct(), "rep", "left_semi")
+            entries = durable(_rare_runs(some).join(order, "rep").select("bucket", "rep", "draw"))
+            open_ = durable(_mixed(entries, labels, 1))
+            if open_.isEmpty():
+                break
     classes = labels.withColumnRenamed("v", "rep")
     of_text = reps.select("high", "low", "rep").join(classes, "rep", "left").select("high", "low", F.coalesce("label", "rep").alias("class_id"))
     found = single.select("doc_id", "high", "low").join(of_text, ["high", "low"]).select("doc_id", "class_id")
     return texts.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _mixed(entries: DataFrame, labels: DataFrame, more_than: int) -> DataFrame:
+    """Members, with their labels, of the buckets that hold different labels and more than so many members."""
+    known = entries.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", "draw", F.coalesce("label", "rep").alias("label"))
+    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    return known.join(mixed.where((F.col("x") != F.col("y")) & (F.col("n") > more_than)).select("bucket"), "bucket")
+
+
+_RUNS = pa.schema([("rep", pa.int64()), ("kind", pa.int32()), ("first", pa.int32()), ("runs", pa.list_(pa.int64()))])
+
+
+def _runs(batches):
+    """Each text's runs as a set (kind 0) and, numbered by occurrence, as a multiset (kind 1)."""
+    for t in by_size(batches, limit=500_000):
+        out = {n: [] for n in _RUNS.names}
+        for rep, text in zip(t["rep"].to_pylist(), t["text"].to_pylist()):
+            e, w = weighted_set(text)
+            which = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            numbered = mix(np.repeat(e, w) ^ mix(which.astype(np.uint64) + np.uint64(1)))
+            for kind, runs in ((0, e), (1, numbered)):
+                out["rep"].append(rep)
+                out["kind"].append(kind)
+                out["first"].append(len(runs) - math.ceil(SIMILARITY * len(runs) - 1e-9) + 1)
+                out["runs"].append(signed(runs))
+        yield from emit(out, _RUNS)
+
+
+def _rare_runs(texts: DataFrame) -> DataFrame:
+    """(bucket, rep) for the runs, shared with another text, among the rarest fifth of each text's.
+
+    Sets that share 0.8 of their union have one in common whatever order all
+    texts use; here it is by the number of texts that hold the run.
+    """
+    each = durable(texts.mapInArrow(_runs, "rep long, kind int, first int, runs array<long>"))
+    rows = each.select("rep", "kind", "first", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    shared = rows.groupBy("kind", "run").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    held = rows.join(shared, ["kind", "run"]).groupBy("rep", "kind", "first", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "run"))).alias("runs"))
+    # Runs of this text alone come first in its order and meet nothing.
+    left = F.col("first") - (F.col("n") - F.size("runs"))
+    rarest = held.where(left > 0).select("rep", "kind", F.explode(F.slice("runs", F.lit(1), left)).alias("x"))
+    return rarest.select(F.xxhash64("kind", "x.run").alias("bucket"), "rep").distinct()
+
+
 def _heads(drawn: DataFrame, done: int, leaders: int) -> DataFrame:
     """Members ``done`` to ``leaders`` of each bucket in its order."""
     at = Window.partitionBy("bucket").orderBy("draw")
