@@ -15,9 +15,10 @@ compared with the rest, and the accepted links make classes.  A bucket of one
 class, however large, is then done.  Buckets that still hold several classes
 are mostly texts around one common passage.  Their members are searched
 exactly: texts of similarity 0.8 share one of their rarest runs, of each the
-fifth that is rarest among these members, so members are grouped by those runs
-and pairs of different classes are compared, with more members in each round,
-until none is left.  No candidate is dropped.  Comparisons are exact: a link needs a Jaccard similarity of 0.8 or more,
+fifth that is rarest among these members, and at the first one they share
+enough of both must still follow.  So members are grouped by those runs, and
+pairs of different classes that pass are compared, with more members in each
+round, until none is left.  No candidate is dropped.  Comparisons are exact: a link needs a Jaccard similarity of 0.8 or more,
 either of the sets or of the multisets of five-word runs.
 
 With 40 bands of 6, a pair at exactly 0.8 shares no bucket with probability
@@ -192,25 +193,29 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     order = entries.select("rep", "draw").distinct()
     links = labels = None
     done, leaders = 0, 1
-    open_ = entries.select("bucket", "rep", "draw", F.col("rep").alias("label"))
+    entries = entries.select("bucket", "rep", "draw", F.lit(0).alias("n"), F.lit(0).alias("follow"))
+    open_ = entries.withColumn("label", F.col("rep"))
     exact = False
     while True:
         # The first ``leaders`` members of a bucket are compared with all after them.
-        heads = open_.groupBy("bucket").agg(F.min_by("rep", "draw").alias("a"), F.min("draw").alias("a_draw"), F.min_by("label", "draw").alias("a_label")) if leaders == 1 else _heads(open_, done, leaders)
-        pairs = open_.join(heads, "bucket").where("draw > a_draw AND label <> a_label")
+        heads = _heads(open_, done, leaders)
+        enough = F.least("a_follow", "follow") >= SIMILARITY / (1 + SIMILARITY) * (F.col("a_n") + F.col("n")) - 1e-9
+        pairs = open_.join(heads, "bucket").where((F.col("draw") > F.col("a_draw")) & (F.col("label") != F.col("a_label")) & enough)
         pairs = durable(pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
-        new = durable(_verified(pairs, rep_texts))
-        links = new if links is None else durable(links.union(new))
-        labels = components(links)
+        if links is None or not pairs.isEmpty():
+            new = durable(_verified(pairs, rep_texts))
+            if links is None or not new.isEmpty():
+                links = new if links is None else durable(links.union(new))
+                labels = components(links)
         open_ = durable(_mixed(entries, labels, leaders + 1))
         if open_.isEmpty():
             break
         if exact:
-            done, leaders = leaders, 4 * leaders
+            done, leaders = leaders, 16 * leaders
         else:
             exact = True
             some = rep_texts.join(open_.select("rep").distinct(), "rep", "left_semi")
-            entries = durable(_rare_runs(some).join(order, "rep").select("bucket", "rep", "draw"))
+            entries = durable(_rare_runs(some).join(order, "rep").select("bucket", "rep", "draw", "n", "follow"))
             open_ = durable(_mixed(entries, labels, 1))
             if open_.isEmpty():
                 break
@@ -222,7 +227,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _mixed(entries: DataFrame, labels: DataFrame, more_than: int) -> DataFrame:
     """Members, with their labels, of the buckets that hold different labels and more than so many members."""
-    known = entries.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", "draw", F.coalesce("label", "rep").alias("label"))
+    known = entries.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", "draw", "n", "follow", F.coalesce("label", "rep").alias("label"))
     mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
     return known.join(mixed.where((F.col("x") != F.col("y")) & (F.col("n") > more_than)).select("bucket"), "bucket")
 
@@ -247,10 +252,11 @@ def _runs(batches):
 
 
 def _rare_runs(texts: DataFrame) -> DataFrame:
-    """(bucket, rep) for the runs, shared with another text, among the rarest fifth of each text's.
+    """(bucket, rep, n, follow) for the runs, shared with another text, among the rarest fifth of each text's.
 
     Sets that share 0.8 of their union have one in common whatever order all
-    texts use; here it is by the number of texts that hold the run.
+    texts use; here it is by the number of texts that hold the run.  ``follow``
+    counts the runs from this one on, of ``n``.
     """
     each = durable(texts.mapInArrow(_runs, "rep long, kind int, first int, runs array<long>"))
     rows = each.select("rep", "kind", "first", F.size("runs").alias("n"), F.explode("runs").alias("run"))
@@ -258,14 +264,18 @@ def _rare_runs(texts: DataFrame) -> DataFrame:
     held = rows.join(shared, ["kind", "run"]).groupBy("rep", "kind", "first", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "run"))).alias("runs"))
     # Runs of this text alone come first in its order and meet nothing.
     left = F.col("first") - (F.col("n") - F.size("runs"))
-    rarest = held.where(left > 0).select("rep", "kind", F.explode(F.slice("runs", F.lit(1), left)).alias("x"))
-    return rarest.select(F.xxhash64("kind", "x.run").alias("bucket"), "rep").distinct()
+    rarest = held.where(left > 0).select("rep", "kind", "n", F.size("runs").alias("held"), F.posexplode(F.slice("runs", F.lit(1), left)).alias("at", "x"))
+    return rarest.select(F.xxhash64("kind", "x.run").alias("bucket"), "rep", "n", (F.col("held") - F.col("at")).alias("follow"))
 
 
 def _heads(drawn: DataFrame, done: int, leaders: int) -> DataFrame:
     """Members ``done`` to ``leaders`` of each bucket in its order."""
+    named = [F.col(c).alias(n) for c, n in (("rep", "a"), ("draw", "a_draw"), ("label", "a_label"), ("n", "a_n"), ("follow", "a_follow"))]
+    if leaders == 1:  # an aggregate combines before the shuffle
+        first = drawn.groupBy("bucket").agg(F.min_by(F.struct("rep", "draw", "label", "n", "follow"), "draw").alias("x"))
+        return first.select("bucket", "x.*").select("bucket", *named)
     at = Window.partitionBy("bucket").orderBy("draw")
-    return drawn.withColumn("place", F.row_number().over(at)).where((F.col("place") > done) & (F.col("place") <= leaders)).select("bucket", F.col("rep").alias("a"), F.col("draw").alias("a_draw"), F.col("label").alias("a_label"))
+    return drawn.withColumn("place", F.row_number().over(at)).where((F.col("place") > done) & (F.col("place") <= leaders)).select("bucket", *named)
 
 
 def _repeats(docs: DataFrame) -> bool:
