@@ -16,7 +16,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; -1 for empty, unequal, zero or non-finite vectors."""
-    value = dot(a, b) / (norm(a) * norm(b))
+    value = F.try_divide(dot(a, b), norm(a) * norm(b))
     bad = (F.size(a) != F.size(b)) | (F.size(a) == 0) | value.isNull() | F.isnan(value)
     return F.when(F.coalesce(bad, F.lit(True)), F.lit(-1.0)).otherwise(value)
 
@@ -24,7 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(a: Column) -> Column:
     """L2-normalised; null for a zero vector."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return F.when(n > 0, F.transform(a, lambda x: F.try_divide(x.cast("double"), n)))
 
 
 def hashed_embedding(value: Column, dimensions: int) -> Column:

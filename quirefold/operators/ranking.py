@@ -97,4 +97,4 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     """Unit sum vector of each key; summed by position, so partial sums combine before the shuffle."""
     sums = vectors.select(key, F.posexplode("embedding").alias("pos", "x")).groupBy(key, "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
-    return sums.select(key, "pos", (F.col("x") / length).alias("x"))
+    return sums.select(key, "pos", F.try_divide(F.col("x"), length).alias("x"))
