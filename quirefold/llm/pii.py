@@ -52,6 +52,15 @@ PATTERNS: list[tuple[str, str]] = [
 ANY = "|".join(p for _, p in PATTERNS)
 
 
+def may_hold(text: Column) -> Column:
+    """False only where no pattern can match; much cheaper than the patterns."""
+    marks = ["@", "=", ":", "AKIA", "ASIA", *(t for ts in _TITLES.values() for t in ts)]
+    out = text.rlike("[0-9]")
+    for m in marks:
+        out = out | text.contains(m)
+    return out
+
+
 def _kind(value: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS:
@@ -207,7 +216,7 @@ def replace_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with surrogates in ``text`` and the number of mentions in ``n_entities``."""
     names = [c for c in docs.columns if c != "n_entities"]
     text = F.col(text_col)
-    has = text.rlike(ANY)
+    has = may_hold(text) & text.rlike(ANY)
     found = docs.where(has).select(F.md5(text).alias("pii_key"), F.regexp_extract_all(text, F.lit(ANY), 0).alias("values")).dropDuplicates(["pii_key"])
     found = durable(found)
     mentions = found.select("pii_key", F.posexplode("values").alias("i", "value"))
