@@ -169,7 +169,7 @@ class WordBpe:
         ``last`` and ``done`` are the path from the root to the current node.
         """
         out: dict[bytes, bytes] = {}
-        inner, final, packed, longest, known = self.inner, self.final, self.packed, self.longest, self._fits
+        inner, final, packed, known = self.inner.get, self.final.get, self.packed, self._fits
         last: list[int] = [-1]  # the last token at each depth of the path
         begin: list[int] = [0]  # where that token begins
         done: list[bytes] = [b""]  # the packed ids up to there
@@ -187,33 +187,36 @@ class WordBpe:
                     shared += 1
             del last[shared + 1 :], begin[shared + 1 :], done[shared + 1 :]
             before = w
-            for i in range(shared + 1, n + 1):
-                table = final if i == n else inner
-                # At most one token can end here, so the likely ones go first: the token before grown by a byte, a byte alone.
-                grown = begin[i - 1]
-                for start in (grown, i - 1, *range(max(0, i - longest), i - 1)):
-                    t = table.get(w[start:i])
-                    if t is None:
-                        continue
-                    if start:
-                        key = last[start] << 20 | t
-                        ok = known.get(key)
-                        if ok is None:
-                            ok = known[key] = self.fits(last[start], t) and self.whole(t)
-                        if ok:
-                            break
-                    elif self.whole(t):
-                        break
-                else:
-                    raise ValueError(f"no encoding of {w!r}: the vocabulary lacks a byte")
-                if i == n:
-                    out[w] = done[start] + packed[t]
-                else:
-                    last.append(t)
-                    begin.append(start)
-                    done.append(done[start] + packed[t])
+            # The likely one goes first: the token before, grown by a byte.
+            start = begin[shared]
+            for i in range(shared + 1, n):
+                t = inner(w[start:i])
+                if t is None or not ((ok := known.get(last[start] << 20 | t)) or ok is None and self.follows(last[start], t)):
+                    start, t = self._other(inner, w, i, start, last)
+                last.append(t)
+                begin.append(start)
+                done.append(done[start] + packed[t])
+            t = final(w[start:])
+            if t is None or not self.follows(last[start], t):
+                start, t = self._other(final, w, n, start, last)
+            out[w] = done[start] + packed[t]
         return out
 
+    def follows(self, left: int, token: int) -> bool:
+        """Whether the token may stand after ``left``; -1 is the start of a word."""
+        key = left << 20 | token
+        ok = self._fits.get(key)
+        if ok is None:
+            ok = self._fits[key] = (left < 0 or self.fits(left, token)) and self.whole(token)
+        return ok
+
+    def _other(self, entry, w: bytes, end: int, tried: int, last: list[int]) -> tuple[int, int]:
+        """Where the token that ends at ``end`` begins, and the token; at most one can end there."""
+        for start in (end - 1, *range(max(0, end - self.longest), end - 1)):
+            if start != tried and (t := entry(w[start:end])) is not None and self.follows(last[start], t):
+                return start, t
+        raise ValueError(f"no encoding of {w!r}: the vocabulary lacks a byte")
+
     # -- texts ---------------------------------------------------------------
 
     def encode_group(self, texts: list[str]) -> list[bytes]:
