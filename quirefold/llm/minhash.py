@@ -47,6 +47,8 @@ from .words import GOLDEN, grams, mix, signed, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
+#: Pairs or ids that may be broadcast, counted first (two longs each, so some tens of MB); more of them are joined by shuffling texts.
+BROADCAST_ROWS = 1_000_000
 #: Area of a region in rank: darts of one region come one after another, so it bounds the steps.
 _AREA = 8.0
 
@@ -165,11 +167,21 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(similar(own, weighted_set(tb)))
             yield from t.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).to_batches()
 
-    first = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    both = first.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    few = pairs.count() <= BROADCAST_ROWS
+    heads = pairs.select("a").distinct()
+    if few:
+        pairs, heads = F.broadcast(pairs), F.broadcast(heads)
+    first = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).join(pairs, "b")
+    both = first.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).join(heads, "a", "left_semi"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _only(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts of these members."""
+    ids = durable(members.select("rep").distinct())
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "rep", "left_semi")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, class_id (the smallest id of its class)."""
     spark = docs.sparkSession
@@ -189,7 +201,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rep_texts = texts.withColumnRenamed("doc_id", "rep")
     if _repeats(signed_docs):
         rep_texts = rep_texts.groupBy("rep").agg(F.min("text").alias("text"))
-    rep_texts = durable(rep_texts.join(entries.select("rep").distinct(), "rep", "left_semi"))
+    rep_texts = durable(_only(rep_texts, entries))
     order = entries.select("rep", "draw").distinct()
     links = labels = None
     done, leaders = 0, 1
@@ -214,8 +226,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             done, leaders = leaders, 16 * leaders
         else:
             exact = True
-            some = rep_texts.join(open_.select("rep").distinct(), "rep", "left_semi")
-            entries = durable(_rare_runs(some).join(order, "rep").select("bucket", "rep", "draw", "n", "follow"))
+            entries = durable(_rare_runs(_only(rep_texts, open_)).join(order, "rep").select("bucket", "rep", "draw", "n", "follow"))
             open_ = durable(_mixed(entries, labels, 1))
             if open_.isEmpty():
                 break

@@ -213,7 +213,9 @@ def _near_texts():
     return texts + [" ".join(word() for _ in range(40)) for _ in range(30)] + ["a b c", "a b c", "", None, "  "]
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("sent", [minhash.BROADCAST_ROWS, 0])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", sent)
     texts = _near_texts()
     sets = [minhash.weighted_set(t or "") for t in texts]
     parent = list(range(len(texts)))
