@@ -7,7 +7,9 @@ first run occurs in one text only can have no partner and go.  The rest carry
 ``LEAST`` words to either side and are sorted over the cluster; each is
 compared with its nearest neighbours of other documents, the match is extended
 to the right and to the left, and if it has ``LEAST`` words it is a repeated
-stretch of both documents.  Stretches that touch are joined.
+stretch of both documents.  Its words are removable where a smaller document has
+them, so the smallest one keeps them.  Stretches that touch and fare alike are
+joined.
 
 Exact copies are one text in the sorting; each copy is a repeat as a whole.
 Sorting is by range with the document as the last key, so a passage that very
@@ -163,15 +165,19 @@ def _across(edges: list) -> list[tuple]:
     return out
 
 
-def _merge(spans: list) -> list[tuple[int, int, int]]:
-    """Stretches (start, end, smallest other document) joined where they touch."""
-    out: list[list[int]] = []
-    for s in sorted((x["start"], x["end"], x["other"]) for x in spans):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1], out[-1][2] = max(out[-1][1], s[1]), min(out[-1][2], s[2])
-        else:
-            out.append(list(s))
-    return [tuple(s) for s in out]
+def _merge(doc_id: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches (start, end, smallest other document) without overlap, cut where that document turns larger or smaller than this.
+
+    The partner is kept for each word, so a smaller one takes only the words it
+    has, and the others stay in the smallest document that has them.
+    """
+    free = np.iinfo(np.int64).max
+    least = np.full(max(e for _, e, _ in spans), free)
+    for s, e, other in spans:
+        np.minimum(least[s:e], other, out=least[s:e])
+    state = (least < free).astype(np.int8) + (least < doc_id)
+    cuts = np.flatnonzero(np.diff(state, prepend=0, append=0)).tolist()
+    return [(s, e, int(least[s:e].min())) for s, e in zip(cuts, cuts[1:]) if state[s]]
 
 
 _PASSAGE = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("other_doc_id", pa.int64()), ("removable", pa.bool_())])
@@ -182,7 +188,7 @@ def _join_spans(batches):
     for t in by_size(batches, "weight", 1 << 17):
         out = {n: [] for n in _PASSAGE.names}
         for doc_id, spans in zip(t["doc_id"].to_pylist(), t["spans"].to_pylist()):
-            for start, end, other in _merge(spans):
+            for start, end, other in _merge(doc_id, [(x["start"], x["end"], x["other"]) for x in spans]):
                 for n, v in zip(_PASSAGE.names, (doc_id, start, end, other, other < doc_id)):
                     out[n].append(v)
         yield from emit(out, _PASSAGE)
@@ -222,10 +228,10 @@ def _context(batches):
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per passage of ``LEAST`` words or more that another document has too.
+    """The passages of ``LEAST`` words or more that another document has too, cut where ``removable`` changes.
 
     Columns: doc_id, start_word, end_word (white-space separated words, end
-    excluded), other_doc_id (the smallest document it was found next to),
+    excluded), other_doc_id (the smallest document it was found in),
     removable (that one is smaller).  A document without repeats has no row.
     """
     spark = docs.sparkSession

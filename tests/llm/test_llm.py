@@ -299,6 +299,37 @@ def test_repeated_passages(spark):
     assert suffix.cut_passages("a  b c\nd", [(1, 3)]) == "a  \nd"
 
 
+def removable_words(texts, found):
+    """The removable words of each document; every repeated word stays in a document that has it amid the same run of 50."""
+    gone: dict[int, set] = {i: set() for i in texts}
+    for r in found:
+        assert r["removable"] == (r["other_doc_id"] < r["doc_id"])
+        if r["removable"]:
+            gone[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    runs: dict[tuple, list] = {}
+    for i, words in texts.items():
+        for k in range(len(words) - 49):
+            runs.setdefault(tuple(words[k : k + 50]), []).append((i, k))
+    alike: dict[tuple, set] = {}
+    for places in runs.values():
+        for n in range(50) if len({i for i, _ in places}) > 1 else ():
+            joined = set().union(*(alike.get((i, k + n), {(i, k + n)}) for i, k in places))
+            alike.update(dict.fromkeys(joined, joined))
+    assert all(any(k not in gone[i] for i, k in words) for words in alike.values())
+    return gone
+
+
+def test_repeated_words_stay_in_one_document(spark):
+    random.seed(15)
+    fresh = lambda n: ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    shared, first, second = fresh(60), fresh(60), fresh(60)
+    group = fresh(80) + shared + fresh(70)
+    texts = {5: fresh(30) + shared + fresh(40) + first, 10: group, 20: group, 30: group, 100: first + second, 900: fresh(9) + first[40:] + second}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    gone = removable_words(texts, suffix.repeated_passages(d).collect())
+    assert gone == {5: set(), 10: set(range(80, 140)), 20: set(range(210)), 30: set(range(210)), 100: set(range(60)), 900: set(range(9, 89))}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
