@@ -3,18 +3,21 @@
 A text is its words.  Of every window of ``WINDOW`` runs of ``GRAM`` words the
 run with the smallest hash is a minimiser; only suffixes that begin at
 minimisers are kept, and equal passages keep the same ones.  Suffixes whose
-first run occurs in one text only can have no partner and go.  The rest carry
-``LEAST`` words to either side and are sorted over the cluster; each is
-compared with its nearest neighbours of other documents, the match is extended
-to the right and to the left, and if it has ``LEAST`` words it is a repeated
-stretch of both documents.  Its words are removable where a smaller document has
-them, so the smallest one keeps them.  Stretches that touch and fare alike are
-joined.
+first run occurs in one text only can have no partner and go.
+
+A passage of ``LEAST`` words belongs to the suffix at its own smallest run,
+which lies at the same place in every holder.  Each suffix carries ``LEAST``
+words to either side and is sorted over the cluster; passages that agree to the
+right lie together, and those that agree to the left as well are the same one,
+whatever follows it.  It is a repeated stretch of all its documents, and its
+words are removable in all but the smallest, which keeps them.  Stretches that
+touch and fare alike are joined.
 
 Exact copies are one text in the sorting; each copy is a repeat as a whole.
 Sorting is by range with the document as the last key, so a passage that very
-many documents share is spread over tasks; what lies at the borders between
-tasks is compared on the driver, four rows for each task.
+many documents share is spread over tasks.  Passages whose words to the right
+are those at the border of a batch or a task may go on beyond it: of each, the
+occurrences in the batch's smallest document are grouped over the cluster.
 
 Defined cases: a null or empty text, or one of fewer than ``LEAST`` words, has
 no repeat; rows with the same id are one document, of which one text takes
@@ -28,16 +31,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_batches, by_size, durable, emit, id_and_text
-from .words import grams, signed, word_hashes
+from .words import grams, mix, signed, word_hashes
 
 LEAST, GRAM, WINDOW = 50, 10, 32
-#: Rows of the same document that are still looked at across a border between batches.
-_TAIL = 64
 
 
 def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +53,22 @@ def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, runs[at]
 
 
+def owned(at: np.ndarray, runs: np.ndarray, n_words: int) -> tuple[list[int], list[int]]:
+    """Of each minimiser, the first and last place where a passage starts whose smallest run, of equals the first, it is; last < first where there is none."""
+    at, runs = at.tolist(), runs.tolist()
+    span = LEAST - GRAM + 1
+    first = [0] * len(at)
+    last = [min(p, n_words - LEAST) for p in at]
+    smaller: list[int] = []
+    for i, p in enumerate(at):
+        while smaller and runs[smaller[-1]] > runs[i]:
+            k = smaller.pop()
+            last[k] = min(last[k], p - span)
+        first[i] = max(0, p - span + 1, at[smaller[-1]] + 1 if smaller else 0)
+        smaller.append(i)
+    return first, last
+
+
 def contexts(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words to the right and, nearest first, to the left of each position; 0 beyond the text."""
     own = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -66,103 +83,64 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _MATCH = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other", pa.int64())])
-_OUT = pa.schema([*_MATCH, ("part", pa.int32()), ("right", pa.binary()), ("left", pa.binary()), ("last", pa.bool_())])
-
-
-class _Rows:
-    """Sorted suffixes: document, position, contexts."""
-
-    def __init__(self, doc: np.ndarray, at: np.ndarray, right: np.ndarray, left: np.ndarray):
-        self.doc, self.at, self.right, self.left = doc, at, right, left
-
-    def __len__(self) -> int:
-        return len(self.doc)
-
-    def take(self, k) -> _Rows:
-        return _Rows(self.doc[k], self.at[k], self.right[k], self.left[k])
-
-    @staticmethod
-    def join(parts: list[_Rows]) -> _Rows:
-        return _Rows(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("doc", "at", "right", "left")))
-
-    def matches(self) -> dict[str, np.ndarray]:
-        """Stretches that each row shares with its nearest neighbours of other documents."""
-        n = len(self)
-        new = np.flatnonzero(np.concatenate([[True], self.doc[1:] != self.doc[:-1]]))
-        run = np.cumsum(np.concatenate([[0], (self.doc[1:] != self.doc[:-1]).astype(np.int64)]))
-        before = new[run] - 1
-        after = np.append(new, n)[run + 1]
-        i = np.concatenate([np.arange(n)[before >= 0], np.arange(n)[after < n]])
-        j = np.concatenate([before[before >= 0], after[after < n]])
-        right, left = _same(self.right[i], self.right[j]), _same(self.left[i], self.left[j])
-        long = right + left >= LEAST
-        i, j, right, left = i[long], j[long], right[long], left[long]
-        both = [np.concatenate(x) for x in ((self.doc[i], self.doc[j]), (self.at[i] - left, self.at[j] - left), (self.at[i] + right, self.at[j] + right), (self.doc[j], self.doc[i]))]
-        return dict(zip(_MATCH.names, np.unique(np.stack(both), axis=1))) if len(i) else {n: np.zeros(0, np.int64) for n in _MATCH.names}
-
-    def border(self, last: bool) -> _Rows:
-        """The outermost rows of the two outermost documents."""
-        order = range(len(self) - 1, -1, -1) if last else range(len(self))
-        picked: list[int] = []
-        for k in order:
-            if not picked or self.doc[k] != self.doc[picked[0]]:
-                picked.append(k)
-            if len(picked) == 2:
-                break
-        return self.take(sorted(picked))
-
-    def tail(self) -> _Rows:
-        """What the next batch may still be compared with."""
-        same = len(self) - 1
-        while same > 0 and self.doc[same - 1] == self.doc[-1]:
-            same -= 1
-        return self.take([*([same - 1] if same else []), *range(max(same, len(self) - _TAIL), len(self))])
-
-
-def _rows_of(t: pa.Table) -> _Rows:
-    unpack = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), ">u4").astype(np.uint32).reshape(-1, LEAST)
-    return _Rows(t["doc_id"].to_numpy(), t["at"].to_numpy(), unpack("right"), unpack("left"))
+_OUT = pa.schema([*_MATCH, ("left", pa.int64()), ("right", pa.int64())])
+
+
+def _prefixes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the first 0 to n words of each row."""
+    out = np.zeros((n + 1, len(words)), np.uint64)
+    for k in range(n):
+        out[k + 1] = mix(out[k] ^ words[:, k].astype(np.uint64))
+    return out
+
+
+def _unpack(t: pa.Table, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t[column].to_pylist()), ">u4").astype(np.uint32).reshape(-1, LEAST)
 
 
 def _pack(rows: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in np.ascontiguousarray(rows).astype(">u4")]
 
 
+def _repeats(t: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Repeated stretches among sorted suffixes; passages that may go on beyond them."""
+    right, left = _unpack(t, "right"), _unpack(t, "left")
+    docs, at, first, last = (t[c].to_numpy() for c in ("doc_id", "at", "first", "last"))
+    many = last - first + 1
+    row = np.repeat(np.arange(len(docs)), many)
+    start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    before = at[row] - start
+    doc = docs[row]
+    to_left, to_right = _prefixes(left, LEAST - GRAM)[before, row], _prefixes(right, LEAST)[LEAST - before, row]
+    key = mix(to_left ^ mix(to_right))
+    order = np.lexsort((doc, key))
+    key, by = key[order], doc[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
+    smallest = by[head][group] == by
+    second = head + np.add.reduceat(smallest, head)
+    shared = second < np.append(head[1:], len(key))
+    other = np.where(smallest, by[np.minimum(second, len(key) - 1)][group], by[head][group])
+    partner, found, least = np.empty_like(other), np.empty(len(key), bool), np.empty(len(key), bool)
+    partner[order], found[order], least[order] = other, shared[group], smallest
+
+    edge = LEAST - before <= np.maximum(_same(right, right[:1]), _same(right, right[-1:]))[row]
+    ask = edge & least
+    asked = {"doc_id": doc[ask], "start": start[ask], "end": start[ask] + LEAST, "left": to_left[ask].view(np.int64), "right": to_right[ask].view(np.int64)}
+    row, start, doc, partner = row[found], start[found], doc[found], partner[found]
+    new = np.ones(len(row) + 1, bool)
+    new[1:-1] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (partner[1:] != partner[:-1])
+    a, b = np.flatnonzero(new)[:-1], np.flatnonzero(new)[1:] - 1
+    return {"doc_id": doc[a], "start": start[a], "end": start[b] + LEAST, "other": partner[a]}, asked
+
+
 def _scan(batches):
-    part = TaskContext.get().partitionId()
-    none = lambda n: pa.nulls(n)
-    held, first = None, None
     for t in by_size(batches, "right", 4_000_000):
-        rows = _rows_of(t)
-        rows = rows if held is None else _Rows.join([held, rows])
-        m = rows.matches()
-        n = len(m["doc_id"])
-        if n:
-            yield from emit(m | {"part": none(n).cast(pa.int32()), "right": none(n).cast(pa.binary()), "left": none(n).cast(pa.binary()), "last": none(n).cast(pa.bool_())}, _OUT)
-        if first is None or len(set(first.doc.tolist())) < 2:
-            first = (rows if first is None else _Rows.join([first, rows])).border(last=False)
-        held = rows.tail()
-    if held is not None:
-        for rows, last in ((first, False), (held.border(last=True), True)):
-            n = len(rows)
-            yield from emit({"doc_id": rows.doc, "start": rows.at, "end": rows.at, "other": rows.doc, "part": [part] * n, "right": _pack(rows.right), "left": _pack(rows.left), "last": [last] * n}, _OUT)
-
-
-def _across(edges: list) -> list[tuple]:
-    """Matches between the last rows of a task and the first of the next that had rows."""
-    by = {}
-    for e in edges:
-        by.setdefault(e["part"], {False: [], True: []})[e["last"]].append(e)
-    out = []
-    read = lambda es: _Rows(np.array([e["doc_id"] for e in es]), np.array([e["start"] for e in es]), *(np.stack([np.frombuffer(bytes(e[c]), ">u4").astype(np.uint32) for e in es]) for c in ("right", "left")))
-    parts = sorted(by)
-    for p, q in zip(parts, parts[1:]):
-        for a in by[p][True]:
-            for b in by[q][False]:
-                if a["doc_id"] != b["doc_id"]:
-                    m = read([a, b]).matches()
-                    out += list(zip(*(m[n].tolist() for n in _MATCH.names)))
-    return out
+        found, asked = _repeats(t)
+        for part in (found, asked):
+            n = len(part["doc_id"])
+            if n:
+                yield from emit({name: pa.nulls(n, pa.int64()) for name in _OUT.names} | part, _OUT)
 
 
 def _merge(doc_id: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -194,7 +172,7 @@ def _join_spans(batches):
         yield from emit(out, _PASSAGE)
 
 
-_SEEDS = pa.schema([("doc_id", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("n_words", pa.int64()), ("seeds", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+_SEEDS = pa.schema([("doc_id", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("n_words", pa.int64()), ("seeds", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
 
 
 def _seed(batches):
@@ -206,22 +184,26 @@ def _seed(batches):
                 continue
             h = np.frombuffer(xxhash.xxh3_128_digest(" ".join(words).encode()), ">i8")
             at, runs = minimisers(word_hashes(words))
-            for n, v in zip(_SEEDS.names, (doc_id, int(h[0]), int(h[1]), len(words), signed(runs), at.astype(np.int32))):
+            first, last = map(np.array, owned(at, runs, len(words)))
+            some = first <= last
+            places = (x[some].astype(np.int32) for x in (at, first, last))
+            for n, v in zip(_SEEDS.names, (doc_id, int(h[0]), int(h[1]), len(words), signed(runs[some]), *places)):
                 out[n].append(v)
         yield from emit(out, _SEEDS)
 
 
-_CONTEXT = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("right", pa.binary()), ("left", pa.binary())])
+_CONTEXT = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("right", pa.binary()), ("left", pa.binary())])
 
 
 def _context(batches):
     for t in by_size(batches, limit=500_000):
         out = {n: [] for n in _CONTEXT.names}
-        for doc_id, text, at in zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), t["at"].to_pylist()):
-            at = np.array(sorted(at), dtype=np.int64)
+        for doc_id, text, places in zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), t["places"].to_pylist()):
+            at, first, last = np.array(sorted((p["at"], p["first"], p["last"]) for p in places), dtype=np.int64).T
             right, left = contexts(word_hashes(text.split()), at)
             out["doc_id"] += [doc_id] * len(at)
-            out["at"] += at.tolist()
+            for n, v in zip(("at", "first", "last"), (at, first, last)):
+                out[n] += v.tolist()
             out["right"] += _pack(right)
             out["left"] += _pack(left)
         yield from emit(out, _CONTEXT)
@@ -239,18 +221,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
     if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    seeded = durable(texts.mapInArrow(_seed, "doc_id long, high long, low long, n_words long, seeds array<long>, at array<int>"))
-    same = seeded.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("copy"), F.min_by(F.struct("seeds", "at"), "doc_id").alias("s"))
-    suffixes = same.select("rep", F.explode(F.arrays_zip("s.seeds", "s.at")).alias("x")).select("rep", F.col("x.seeds").alias("seed"), F.col("x.at").alias("at"))
+    seeded = durable(texts.mapInArrow(_seed, "doc_id long, high long, low long, n_words long, seeds array<long>, at array<int>, first array<int>, last array<int>"))
+    same = seeded.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("copy"), F.min_by(F.struct("seeds", "at", "first", "last"), "doc_id").alias("s"))
+    suffixes = same.select("rep", F.explode(F.arrays_zip("s.seeds", "s.at", "s.first", "s.last")).alias("x")).select("rep", F.col("x.seeds").alias("seed"), "x.at", "x.first", "x.last")
     suffixes = durable(suffixes)
     shared = suffixes.groupBy("seed").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("seed")
-    wanted = suffixes.join(shared, "seed").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("at").alias("at"))
-    rows = texts.join(wanted, "doc_id").mapInArrow(_context, "doc_id long, at long, right binary, left binary")
+    wanted = suffixes.join(shared, "seed").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("at", "first", "last")).alias("places"))
+    rows = texts.join(wanted, "doc_id").mapInArrow(_context, "doc_id long, at long, first long, last long, right binary, left binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(tasks, "right", "doc_id", "at").sortWithinPartitions("right", "doc_id", "at")
-    found = durable(ordered.mapInArrow(_scan, "doc_id long, start long, end long, other long, part int, right binary, left binary, last boolean"))
-    across = spark.createDataFrame(_across(found.where("part IS NOT NULL").collect()), "doc_id long, start long, end long, other long")
-    matches = found.where("part IS NULL").select(*_MATCH.names).union(across)
+    found = durable(ordered.mapInArrow(_scan, "doc_id long, start long, end long, other long, left long, right long"))
+    alike = Window.partitionBy("left", "right")
+    asked = found.where("left IS NOT NULL").select("*", F.min("doc_id").over(alike).alias("least"), F.max("doc_id").over(alike).alias("most")).where("least < most")
+    beyond = asked.withColumn("other", F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")))
+    matches = found.where("left IS NULL").select(*_MATCH.names).union(beyond.select(*_MATCH.names))
 
     groups = same.where("rep < copy").select("high", "low", "rep", "copy")
     whole = seeded.select("doc_id", "high", "low", "n_words").join(groups, ["high", "low"])

@@ -330,6 +330,20 @@ def test_repeated_words_stay_in_one_document(spark):
     assert gone == {5: set(), 10: set(range(80, 140)), 20: set(range(210)), 30: set(range(210)), 100: set(range(60)), 900: set(range(9, 89))}
 
 
+def test_repeated_passage_stays_in_smallest_document_only(spark):
+    random.seed(16)
+    fresh = lambda n: ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    texts, want = {}, {}
+    for n, size in enumerate((50, 52, 55, 60)):
+        passage = fresh(size)
+        for i in range(n * 40, n * 40 + 40):
+            at = random.randint(0, 60)
+            texts[i] = fresh(at) + passage + fresh(random.randint(0, 60))
+            want[i] = set(range(at, at + size)) if i % 40 else set()
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert removable_words(texts, suffix.repeated_passages(d).collect()) == want
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
