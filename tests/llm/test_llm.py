@@ -344,6 +344,23 @@ def test_repeated_passage_stays_in_smallest_document_only(spark):
     assert removable_words(texts, suffix.repeated_passages(d).collect()) == want
 
 
+def test_passages_repeated_within_documents_at_borders(spark):
+    random.seed(17)
+    fresh = lambda n: ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage = fresh(110)
+    texts = {i: [w for _ in range(30) for w in fresh(60) + passage] for i in (3, 8)}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = suffix.repeated_passages(d).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    held = {i: sorted((r["start_word"], r["end_word"]) for r in found if r["doc_id"] == i) for i in texts}
+    assert held == {i: [(k * 170 + 60, k * 170 + 170) for k in range(30)] for i in texts}
+    assert removable_words(texts, found) == {3: set(), 8: {k * 170 + n for k in range(30) for n in range(60, 170)}}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
