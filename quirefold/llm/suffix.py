@@ -10,8 +10,9 @@ which lies at the same place in every holder.  Each suffix carries ``LEAST``
 words to either side and is sorted over the cluster; passages that agree to the
 right lie together, and those that agree to the left as well are the same one,
 whatever follows it.  It is a repeated stretch of all its documents, and its
-words are removable in all but the smallest, which keeps them.  Stretches that
-touch and fare alike are joined.
+words are removable in all but the smallest.  Where another passage overlaps it
+there, a still smaller document may keep those words, so each word stays, though
+not each passage in one piece.  Stretches that touch and fare alike are joined.
 
 Exact copies are one text in the sorting; each copy is a repeat as a whole.
 Sorting is by range with the document as the last key, so a passage that very
