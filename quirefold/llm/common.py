@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +17,27 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 
+_owner: list = []
+
+
+def claim(free) -> None:
+    """What a worker keeps between tasks belongs to one operator; ``free`` drops it when another one comes.
+
+    Workers are used again by later stages, so caches would add up.
+    """
+    if _owner and _owner[0] == free:
+        return
+    if _owner:
+        _owner.pop()()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # a C library without it keeps its pages
+            pass
+    _owner.append(free)
+
+
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -25,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("spark.quirefold.scratch", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quirefold-")
         spark.conf.set("spark.quirefold.scratch", found)
     return found.rstrip("/")
@@ -68,3 +93,22 @@ def by_size(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int
 
 def emit(columns: dict[str, object], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield from pa.table([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in schema], schema=schema).to_batches(max_chunksize=BATCH_ROWS * 8)
+
+
+#: Keys that are sent to every task: no more can each hold a 1/COMMON share of the rows.
+COMMON = 1 << 16
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], n_rows: int) -> DataFrame:
+    """``rows`` joined with distinct ``keys``, whose column ``n`` says how many rows each meets; ``n`` goes.
+
+    Keys with a ``COMMON``-th of all rows or more are broadcast, at most
+    ``COMMON`` by counting; their rows are joined where they lie.  Only the
+    other rows are shuffled, and of those no key has many.  Both inputs must be
+    cheap to read twice; keys are kept in the shared folder.
+    """
+    keys = durable(keys)
+    often = F.col("n") >= n_rows // COMMON + 1
+    hot = F.broadcast(keys.where(often).drop("n"))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keys.where(~often).drop("n"), on)
+    return rows.join(hot, on).unionByName(rest)
