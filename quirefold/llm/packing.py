@@ -2,7 +2,7 @@
 
 Each text is tokenised and closed with the end id.  Whatever fills a sequence
 alone is cut off its front, so every piece is at most ``limit`` long.  Pieces,
-a few numbers each, are dealt at random into groups of bounded size, and every
+a few numbers each, are dealt by a hash of their place into groups of bounded size, and every
 group runs first-fit decreasing by itself: pieces in falling length go to the
 first bin with room, found by descending a tournament tree whose nodes hold
 the most room below them.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +31,23 @@ _PLACED = pa.schema([*_PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()
 
 def pieces_of(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens."""
-    end, width = end_id.to_bytes(4, "little"), 4 * limit
+    end = end_id.to_bytes(4, "little")
 
     def run(batches):
         bpe = wordbpe.load(path)
         for t in by_size(batches):
-            out = {n: [] for n in _PIECE.names}
-            for doc_id, ids in zip(t["doc_id"].to_pylist(), bpe.encode_group(t["text"].to_pylist())):
-                ids += end
-                for k in range(0, len(ids), width):
-                    part = ids[k : k + width]
-                    for n, v in zip(_PIECE.names, (doc_id, k // 4, len(part) // 4, crc32(part), len(ids) // 4)):
-                        out[n].append(v)
-            yield from emit(out, _PIECE)
+            ids, counts = bpe.encode_flat(t["text"].combine_chunks())
+            tokens = counts + 1
+            many = -(-tokens // limit)
+            row = np.repeat(np.arange(len(many)), many)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * limit
+            length = np.minimum(tokens[row] - start, limit)
+            at = (np.cumsum(counts) - counts)[row] + start
+            last = start + length == tokens[row]
+            raw = memoryview(ids).cast("B")
+            # The end id of a document is never stored, its checksum goes on from that of the ids before it.
+            crc = [crc32(end, c) if z else c for c, z in zip((crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length - last).tolist())), last.tolist())]
+            yield from emit({"doc_id": t["doc_id"].combine_chunks().take(pa.array(row)), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": tokens[row]}, _PIECE)
 
     arrow_batches(docs.sparkSession)
     return id_and_text(docs, id_col, text_col).mapInArrow(run, PIECE)
@@ -92,7 +97,8 @@ def _place(table: pa.Table, group: int, limit: int) -> pa.Table:
 def pack(pieces: DataFrame, limit: int = 4096, group_pieces: int = 16_384, seed: int = 7) -> DataFrame:
     """The pieces with sequence_id and offset; ``pieces`` must be cheap to read twice."""
     groups = -(-pieces.count() // group_pieces) or 1
-    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    # By the row's place, as equal rows without id have nothing else that differs.
+    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
 
     def run(key, table):
         return _place(table, key[0].as_py(), limit)

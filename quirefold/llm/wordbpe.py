@@ -17,12 +17,18 @@ import json
 import re
 from collections.abc import Iterable
 
-#: ASCII white space; what the pre-tokeniser drops wherever it stands.
-_SPACES = "\n\t\r\x0b\x0c"
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from . import common
+
 #: ASCII and the Latin-1 letters: here lower-casing is one to one and normalisation changes nothing.
 _PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t-\ra-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 _NEVER = 1 << 30
+#: ASCII white space; what the pre-tokeniser drops wherever it stands.
+_SPACES = "\n\t\r\x0b\x0c"
 
 
 def byte_letters() -> dict[int, str]:
@@ -43,7 +49,7 @@ def chunks(text: str) -> list[str]:
 class WordBpe:
     """Exact re-implementation of the library's ids for one word-level BPE file."""
 
-    def __init__(self, path: str, cached_chunks: int = 400_000, cached_words: int = 500_000):
+    def __init__(self, path: str, cached_chunks: int = 200_000, cached_words: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -219,39 +225,55 @@ class WordBpe:
 
     # -- texts ---------------------------------------------------------------
 
-    def encode_group(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; one trie for all words that the group brings.
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has; one trie for all words that the group brings.
 
-        Words and chunks seen early are kept for later groups, up to a bound;
-        beyond it a group's own are forgotten with the group.
+        Chunks are numbered by Arrow, so Python meets each distinct one once a
+        group; the texts' ids are gathered by number.  Words and chunks seen
+        early are kept for later groups, up to a bound; beyond it a group's own
+        are forgotten with the group.
         """
-        known, seen = self._chunk_ids, set()
-        for t in texts:
-            seen.update(chunks(t))
-        fresh = dict.fromkeys(seen.difference(known))
-        del seen
-        pieces = {c: self.pieces(c) for c in fresh}
-        words = {w for ws in pieces.values() for w in ws if w.__class__ is bytes}
-        kept = self._word_ids
-        ids_of = self.traverse(words.difference(kept))
-        if (room := self.cached_words - len(kept)) >= len(ids_of):
-            kept.update(ids_of)
-            ids_of = kept
-        else:
-            kept.update(itertools.islice(ids_of.items(), max(0, room)))
-            ids_of.update((w, kept[w]) for w in words if w in kept)
-        for c, ws in pieces.items():
-            if len(ws) == 1 and ws[0].__class__ is bytes:
-                fresh[c] = ids_of[ws[0]]
-            else:
-                fresh[c] = b"".join([ids_of[w] if w.__class__ is bytes else self.packed[w] for w in ws])
-        del pieces, words
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, chunks(t))) for t in texts]
-        if (over := len(known) - self.cached_chunks) > 0:
-            for c in itertools.islice(fresh, max(0, len(fresh) - over), None):
-                del known[c]
-        if len(self._fits) > 2_000_000:
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
+        found = self._ids_of_chunks(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(size) - size
+        codes = coded.indices.to_numpy()
+        each = size[codes]
+        ends = np.cumsum(each)
+        at = np.repeat(begin[codes] - ends + each, each)
+        at += np.arange(len(at))
+        last = np.cumsum(counts)
+        total = np.concatenate([[0], ends])[np.stack([last - counts, last])]
+        return pool[at], total[1] - total[0]
+
+    def encode_group(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, counts = self.encode_flat(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(counts)
+        return [ids[e - n : e].tobytes() for n, e in zip(counts.tolist(), ends.tolist())]
+
+    def _ids_of_chunks(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, in their order."""
+        known, kept = self._chunk_ids, self._word_ids
+        out = list(map(known.get, distinct))
+        fresh = [k for k, ids in enumerate(out) if ids is None]
+        pieces = [self.pieces(distinct[k]) for k in fresh]
+        words = {w for ws in pieces for w in ws if w.__class__ is bytes}
+        new = words.difference(kept)
+        ids_of = self.traverse(new)
+        kept.update(itertools.islice(ids_of.items(), max(0, self.cached_words - len(kept))))
+        if len(new) < len(words):
+            ids_of.update((w, kept[w]) for w in words.difference(new))
+        for k, ws in zip(fresh, pieces):
+            out[k] = ids_of[ws[0]] if len(ws) == 1 and ws[0].__class__ is bytes else b"".join([ids_of[w] if w.__class__ is bytes else self.packed[w] for w in ws])
+        room = max(0, self.cached_chunks - len(known))
+        known.update((distinct[k], out[k]) for k in fresh[:room])
+        if len(self._fits) > 300_000:
             self._fits.clear()
         return out
 
@@ -268,6 +290,7 @@ _loaded: dict[str, WordBpe] = {}
 
 def load(path: str) -> WordBpe:
     """One encoder for each file and Python worker."""
+    common.claim(_loaded.clear)
     if path not in _loaded:
         _loaded[path] = WordBpe(path)
     return _loaded[path]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import claim
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.encode())
-        if len(self) < 300_000 and len(word) <= 40:
+        if len(self) < 200_000 and len(word) <= 40:
             self[word] = h
         return h
 
@@ -29,6 +31,7 @@ _hashes = _Hashes()
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
+    claim(_hashes.clear)
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
