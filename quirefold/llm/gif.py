@@ -79,7 +79,9 @@ def lzw_compress(data: bytes, bits: int = 8) -> bytes:
 
 
 def lzw_expand(data: bytes, bits: int, limit: int) -> bytes:
-    """The samples of an LZW stream, at most ``limit``; what follows a damaged code is left out."""
+    """The first ``limit`` samples of an LZW stream; ValueError where it is damaged or ends before."""
+    if not 2 <= bits <= 8:
+        raise ValueError("code size")
     clear = 1 << bits
     pattern, offsets = _pattern(bits)
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
@@ -96,7 +98,7 @@ def lzw_expand(data: bytes, bits: int, limit: int) -> bytes:
             rel = np.arange(_FULL) * 12
         n = int(np.searchsorted(rel + own, total - at, side="right"))
         if not n:
-            break
+            raise ValueError("the stream ends early")
         own, pos = own[:n], at + rel[:n]
         i = pos >> 3
         codes = ((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) >> (pos & 7)) & ((1 << own) - 1)
@@ -107,21 +109,19 @@ def lzw_expand(data: bytes, bits: int, limit: int) -> bytes:
         if fresh and part:
             table = [*_ONE[:clear], b"", b""]
             if part[0] >= clear:
-                break
+                raise ValueError("the first code is no sample")
             before = table[part[0]]
             out.append(before)
             size += len(before)
             part = part[1:]
         add, put = table.append, out.append
         grow = max(0, _FULL - len(table)) if table else 0
-        damaged = False
         for c in part[:grow]:
             try:
                 e = table[c]
             except IndexError:
                 if c > len(table):
-                    damaged = True
-                    break
+                    raise ValueError("a code beyond the table") from None
                 e = before + before[:1]
             add(before + e[:1])
             put(e)
@@ -131,8 +131,6 @@ def lzw_expand(data: bytes, bits: int, limit: int) -> bytes:
             e = table[c]
             put(e)
             size += len(e)
-        if damaged:
-            break
         if len(stop):
             if codes[n] != clear:
                 break
@@ -141,6 +139,8 @@ def lzw_expand(data: bytes, bits: int, limit: int) -> bytes:
         else:
             at = int(pos[-1] + own[-1])
             read += n
+    if size < limit:
+        raise ValueError("samples are missing")
     return b"".join(out)[:limit]
 
 
@@ -161,7 +161,7 @@ class Frame:
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     parts = []
-    while at < len(data) and (n := data[at]):
+    while n := data[at]:  # IndexError where the data end first
         parts.append(data[at + 1 : at + 1 + n])
         at += 1 + n
     return b"".join(parts), at + 1
@@ -186,8 +186,16 @@ def write_gif(frames: list[tuple[int, int, bytes]], palette: bytes, delay_ms: in
     return b"".join([*out, b"\x3b"])
 
 
+#: Pixels of the largest canvas or frame that is drawn.
+PIXELS = 1 << 26
+
+
 def read_gif(data: bytes) -> Iterator[Frame]:
-    """The frames in order, composed by the rules of disposal and transparency."""
+    """The frames in order, composed by the rules of disposal and transparency.
+
+    ValueError or IndexError where the data are damaged, cut short, or ask for
+    more than ``PIXELS``; frames before that place have been given.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     u16 = lambda k: data[k] | data[k + 1] << 8
@@ -196,9 +204,11 @@ def read_gif(data: bytes) -> Iterator[Frame]:
     if flags & 0x80:
         n = 3 << (1 + (flags & 7))
         common, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
+    if width * height > PIXELS:
+        raise ValueError("canvas too large")
     canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, clear = 0, 0, None
-    while at < len(data) and data[at] != 0x3B:
+    while data[at] != 0x3B:
         kind = data[at]
         if kind == 0x21:
             label = data[at + 1]
@@ -215,8 +225,9 @@ def read_gif(data: bytes) -> Iterator[Frame]:
                 palette, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
             bits = data[at]
             body, at = _blocks(data, at + 1)
-            samples = lzw_expand(body, bits, w * h)
-            index = np.frombuffer(samples.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+            if w * h > PIXELS:
+                raise ValueError("frame too large")
+            index = np.frombuffer(lzw_expand(body, bits, w * h), np.uint8).reshape(h, w)
             if local & 0x40:
                 shown = np.empty_like(index)
                 shown[_rows_in_order(h, True)] = index
@@ -237,4 +248,4 @@ def read_gif(data: bytes) -> Iterator[Frame]:
                 canvas = saved
             delay, disposal, clear = 0, 0, None
         else:
-            break
+            raise ValueError("unknown block")

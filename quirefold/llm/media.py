@@ -10,8 +10,8 @@ the palette maps sample k to grey level k, so the samples can be read back
 from the drawn canvas.
 
 Defined cases: a null or empty text is one row of spaces; repeated rows give
-equal values; a null id is kept; a null or damaged GIF has no frames and a
-null payload; other columns are ignored.
+equal values; a null id is kept; a GIF that is null, damaged anywhere, cut
+short or larger than ``gif.PIXELS`` has no frames and a null payload; other columns are ignored.
 """
 
 from __future__ import annotations

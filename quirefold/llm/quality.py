@@ -3,13 +3,15 @@
 Every line of a text is good or bad.  A line's features describe the line and
 its two neighbours; the chain's transitions tie neighbours together.  The
 document's score is the mean of the lines' forward-backward marginals of
-"good", weighted by line length.
+"good", weighted by line length in bytes.
 
 Labels exist for documents only, so in training all lines of a document carry
 its label; the penalty on the weights keeps the transitions finite.  The model
-is fitted on a bounded sample of labelled rows (``max_docs`` documents with the
-smallest hash of their id, the first ``max_lines`` lines of each), and applied
-to every line of every document.
+is fitted on a bounded sample of labelled rows (of the ``max_docs`` labelled
+documents with the smallest hash of their id those with ``max_lines`` lines or
+fewer), and applied to every line of every document.  Features are made for
+some lines at a time and long chains are walked in blocks, so a text of very
+many lines costs memory for a few numbers a line.
 
 Defined cases: a null or empty text is one empty line and gets a score like
 any other; labels or documents without id, or labels that are null, are no
@@ -19,6 +21,7 @@ repeated rows get equal scores; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -41,9 +44,13 @@ OWN = ("length", "upper", "symbol", "digit", "point", "repeated_words", "adjacen
 NEIGHBOUR = (1, 2, 5, 6, 10)
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and weights (characters, 1 at least) of all lines, and the number of lines of each text."""
-    raw = np.frombuffer(("\n".join(texts) + "\n").encode(), np.uint8)
+#: Lines whose features are made at once, and the chain length from which lines are no longer walked one by one.
+LINES, LONG = 50_000, 4_096
+
+
+def own_features(parts: list[tuple[list[str], set[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of lines by themselves and their weights (bytes, 1 at least); each part has its text's lines seen so far."""
+    raw = np.frombuffer(("\n".join("\n".join(lines) for lines, _ in parts) + "\n").encode(), np.uint8)
     kind = _CLASS[raw]
     upper = np.flatnonzero(raw == 0xC3) + 1
     kind[upper[(raw[upper] >= 0x80) & (raw[upper] <= 0x9E)]] = _UPPER
@@ -53,14 +60,13 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     size = ends - starts
     solid = np.maximum(size + 1 - count[_SPACE], 1)
 
-    n_lines, words = [], []
-    for text in texts:
-        lines, seen = text.split("\n"), set()
-        n_lines.append(len(lines))
+    words = []
+    for lines, seen in parts:
         for line in lines:
             w = line.split()
-            words.append((len(w), len(set(w)), sum(map(eq, w, w[1:])), line in seen and len(w) > 2))
-            seen.add(line)
+            words.append((len(w), len(set(w)), sum(map(eq, w, w[1:])), line in seen))
+            if len(w) > 2:
+                seen.add(line)
     w = np.array(words, dtype=np.float64).reshape(-1, 4)
     n = np.maximum(w[:, 0], 1)
     last = raw[np.maximum(ends - 1, 0)]
@@ -77,14 +83,44 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         w[:, 0] < 4,
         w[:, 3],
     ], axis=1)
-    n_lines = np.array(n_lines)
-    first = np.zeros(len(own), bool)
-    first[np.cumsum(n_lines) - n_lines] = True
-    final = np.zeros(len(own), bool)
-    final[np.cumsum(n_lines) - 1] = True
+    return own, size + 1
+
+
+def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``own_features`` of all lines of all texts, ``LINES`` or fewer at a time."""
+    parts, n = [], 0
+    for text in texts:
+        lines, seen = text.split("\n"), set()
+        for k in range(0, len(lines), LINES):
+            part = lines[k : k + LINES]
+            if parts and n + len(part) > LINES:
+                yield own_features(parts)
+                parts, n = [], 0
+            parts.append((part, seen))
+            n += len(part)
+    if parts:
+        yield own_features(parts)
+
+
+def _count_lines(texts: list[str]) -> np.ndarray:
+    return np.array([t.count("\n") + 1 for t in texts])
+
+
+def _borders(n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first and of the last line of each text."""
+    ends = np.cumsum(n_lines)
+    return ends - n_lines, ends - 1
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all lines, with the neighbours' and the two borders', and the number of lines of each text."""
+    own, n_lines = np.concatenate([x for x, _ in _blocks(texts)]), _count_lines(texts)
+    first, final = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    for flag, at in zip((first, final), _borders(n_lines)):
+        flag[at] = True
     before, after = np.roll(own[:, NEIGHBOUR], 1, axis=0), np.roll(own[:, NEIGHBOUR], -1, axis=0)
     before[first], after[final] = 0, 0
-    return np.concatenate([own, before, after, first[:, None], final[:, None]], axis=1), size + 1, n_lines
+    return np.concatenate([own, before, after, first[:, None], final[:, None]], axis=1), n_lines
 
 
 def _softplus2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,9 +154,53 @@ def forward_backward(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray)
     return good, pairs, z
 
 
-def _padded(values: np.ndarray, n_lines: np.ndarray):
+def long_marginals(emission: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one chain, walked in about sqrt(n) blocks side by side.
+
+    A block is a 2 x 2 matrix of sums over its paths, so the blocks' borders
+    come from one short walk over the matrices in either direction.
+    """
+    steps = len(emission) - 1
+    width = int(np.ceil(np.sqrt(steps)))
+    blocks = -(-steps // width)
+    e = np.zeros((blocks * width, 2))
+    e[:steps, 1] = emission[1:]
+    mask = (np.arange(blocks * width) < steps).reshape(blocks, width)
+    e = e.reshape(blocks, width, 2)
+
+    def onward(a: np.ndarray, k: int) -> np.ndarray:
+        step = np.logaddexp(a[..., :1] + trans[0], a[..., 1:] + trans[1])
+        here = (slice(None), *[None] * (a.ndim - 2))
+        return np.where(mask[:, k][here][..., None], step + e[:, k][here], a)
+
+    through = np.tile(np.array([[0.0, -np.inf], [-np.inf, 0.0]]), (blocks, 1, 1))
+    for k in range(width):
+        through = onward(through, k)
+    start, end = np.empty((blocks, 2)), np.zeros((blocks, 2))
+    at = np.array([0.0, emission[0]])
+    for b in range(blocks):
+        start[b] = at
+        at = np.logaddexp(at[0] + through[b, 0], at[1] + through[b, 1])
+    z = np.logaddexp(*at)
+    at = np.zeros(2)
+    for b in range(blocks - 1, -1, -1):
+        end[b] = at
+        at = np.logaddexp(through[b, :, 0] + at[0], through[b, :, 1] + at[1])
+    first = np.exp(emission[0] + at[1] - z)
+    alpha = np.empty((blocks, width))
+    for k in range(width):
+        start = onward(start, k)
+        alpha[:, k] = start[:, 1]
+    for k in range(width - 1, -1, -1):
+        alpha[:, k] += end[:, 1]
+        right = e[:, k] + end
+        back = np.logaddexp(trans[:, 0] + right[:, :1], trans[:, 1] + right[:, 1:])
+        end = np.where(mask[:, k, None], back, end)
+    return np.concatenate([[first], np.exp(alpha.ravel()[:steps] - z)])
+
+
+def _padded(starts: np.ndarray, n_lines: np.ndarray):
     """Chains of similar length together: (rows of the chains, flat positions [n, t], mask [n, t])."""
-    starts = np.cumsum(n_lines) - n_lines
     width = 1 << np.ceil(np.log2(n_lines)).astype(int)
     for t in np.unique(width):
         rows = np.flatnonzero(width == t)
@@ -140,15 +220,32 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Length-weighted mean marginal of each text."""
-        x, size, n_lines = line_features(texts)
-        emission = ((x - self.mean) / self.scale) @ self.weights + self.bias
+        emission, size, n_lines = self.emissions(texts)
         out = np.empty(len(texts))
-        for rows, at, mask in _padded(emission, n_lines):
+        short = np.flatnonzero(n_lines <= LONG)
+        starts, ends = _borders(n_lines)
+        for k in np.flatnonzero(n_lines > LONG):
+            w = size[starts[k] : ends[k] + 1]
+            out[k] = (long_marginals(emission[starts[k] : ends[k] + 1], self.trans) * w).sum() / w.sum()
+        for rows, at, mask in _padded(starts[short], n_lines[short]):
             good, _, _ = forward_backward(np.where(mask, emission[at], 0), mask, self.trans)
             w = np.where(mask, size[at], 0)
-            out[rows] = (good * w).sum(1) / w.sum(1)
+            out[short[rows]] = (good * w).sum(1) / w.sum(1)
         return np.clip(out, 0, 1)
 
+    def emissions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log odds and weight of each line, and the number of lines of each text."""
+        w = self.weights / self.scale
+        d, k = len(OWN), len(NEIGHBOUR)
+        parts = [(x @ w[:d], x[:, NEIGHBOUR] @ w[d : d + k], x[:, NEIGHBOUR] @ w[d + k : d + 2 * k], size) for x, size in _blocks(texts)]
+        own, to_next, to_previous, size = map(np.concatenate, zip(*parts))
+        n_lines = _count_lines(texts)
+        first, final = _borders(n_lines)
+        before, after = np.roll(to_next, 1), np.roll(to_previous, -1)
+        before[first], after[final] = w[-2], w[-1]
+        # A border stands in the place of the neighbour that is missing.
+        return own + before + after + self.bias - self.mean @ w, size, n_lines
+
 
 def fit_chains(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, penalty: float = 1e-2, steps: int = 120, rate: float = 0.15) -> Model:
     """Penalised likelihood by Adam; all lines of a chain carry its label; both classes weigh the same per chain."""
@@ -157,7 +254,7 @@ def fit_chains(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, penalty:
     x = (x - mean) / scale
     d = x.shape[1]
     theta, m, v = np.zeros(d + 5), np.zeros(d + 5), np.zeros(d + 5)
-    groups = list(_padded(x, n_lines))
+    groups = list(_padded(_borders(n_lines)[0], n_lines))
     total = len(labels)
     for step in range(1, steps + 1):
         w, b, trans = theta[:d], theta[d], theta[d + 1 :].reshape(2, 2)
@@ -178,21 +275,26 @@ def fit_chains(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, penalty:
     return Model(mean, scale, theta[:d].copy(), float(theta[d]), theta[d + 1 :].reshape(2, 2).copy())
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_lines: int = 100) -> Model | None:
-    """The model from at most ``max_docs`` labelled rows whose crc32(doc_id) mod 5 is not 0; None without both classes."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_lines: int = 400) -> Model | None:
+    """The model from at most ``max_docs`` labelled rows whose crc32(doc_id) mod 5 is not 0; None without both classes.
+
+    Documents of more than ``max_lines`` lines are no rows of the sample, so it
+    is bounded; those in it count with all their lines.
+    """
     arrow_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.where("doc_id IS NOT NULL AND quality IN (0, 1) AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 0")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "quality").limit(max_docs)
+    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     # max_docs rows bound the broadcast side; the limit after the join holds where ids repeat.
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_docs)
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").where(breaks < max_lines).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_docs)
     schema = pa.schema([("quality", pa.int32()), ("x", pa.binary())])
 
     def run(batches):
         for t in by_size(batches, limit=2_000_000):
-            x, _, n_lines = line_features(t["text"].to_pylist())
+            x, n_lines = line_features(t["text"].to_pylist())
             parts = np.split(x.astype(np.float32), np.cumsum(n_lines)[:-1])
-            yield from emit({"quality": t["quality"], "x": [p[:max_lines].tobytes() for p in parts]}, schema)
+            yield from emit({"quality": t["quality"], "x": [p.tobytes() for p in parts]}, schema)
 
     found = rows.select("quality", "text").mapInArrow(run, "quality int, x binary").collect()
     y = np.array([r["quality"] for r in found], dtype=int)

@@ -136,6 +136,52 @@ def test_gif_disposal_transparency_interlace():
     assert next(gif.read_gif(tall)).samples == bytes([0, 3, 2, 1, 1])[:5]
 
 
+def plain_lzw(data, bits):
+    """A decoder that reads code by code, as the format's text has it."""
+    number, clear = int.from_bytes(data, "little"), 1 << bits
+    width, table, before, out = bits + 1, [], None, b""
+    while True:
+        code, number = number & ((1 << width) - 1), number >> width
+        if code == clear:
+            table, width, before = [bytes([i]) for i in range(clear)] + [b"", b""], bits + 1, None
+        elif code == clear + 1:
+            return out
+        else:
+            entry = table[code] if code < len(table) else before + before[:1]
+            if before is not None and len(table) < 4096:
+                table.append(before + entry[:1])
+            out, before = out + entry, entry
+            if len(table) == 1 << width and width < 12:
+                width += 1
+
+
+def test_gif_against_other_data_and_a_plain_decoder():
+    # A picture of 10 x 10 in four colours that was not made by this writer.
+    other = bytes.fromhex("47494638396 10a000a00910000ffffffff00000000ff000000 21f90400000000002c000000000a000a0000 0216 8c2d99872a1cdc33a00275ec95faa8de608c04914c01 00 3b".replace(" ", ""))
+    (f,) = gif.read_gif(other)
+    rows = [[1] * 5 + [2] * 5] * 3 + [[1, 1, 1, 0, 0, 0, 0, 2, 2, 2]] * 2 + [[2, 2, 2, 0, 0, 0, 0, 1, 1, 1]] * 2 + [[2] * 5 + [1] * 5] * 3
+    assert f.samples == bytes(v for r in rows for v in r) and f.canvas[0, 0].tolist() == [255, 0, 0, 255] and f.canvas[0, 9].tolist() == [0, 0, 255, 255]
+    random.seed(6)
+    for n in (1, 700, 30000):
+        for bits, letters in ((8, bytes(range(256))), (2, b"\0\1\3")):
+            data = bytes(random.choice(letters) for _ in range(n))
+            assert plain_lzw(gif.lzw_compress(data, bits), bits) == data
+
+
+def test_damaged_gifs_are_null():
+    random.seed(7)
+    whole = media.to_gif(media.payload_of("".join(random.choice("abcdef ") for _ in range(9000)))[1])
+    assert media.from_gif(whole)[0] is not None
+    for cut in (1, 2, 10, 200, 1500, len(whole) - 5):
+        assert media.from_gif(whole[:-cut]) == (None, [])
+    at = 13 + 768 + 8 + 10
+    assert whole[at] == 8
+    for bits in (0, 1, 9, 200):
+        assert media.from_gif(whole[:at] + bytes([bits]) + whole[at + 1 :]) == (None, [])
+    assert media.from_gif(b"GIF89a" + b"\xff" * 4 + whole[10:]) == (None, [])
+    assert media.from_gif(b"no gif at all") == (None, [])
+
+
 def test_media(docs, empty):
     rows = media.read_frames(media.store_as_gif(docs)).collect()
     assert len(rows) == len(TEXTS) + 1 and media.read_frames(media.store_as_gif(empty)).count() == 0
@@ -175,6 +221,44 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(got[0, :4], good / total) and np.isclose(z[0], np.log(total))
 
 
+def test_long_chains_equal_short_ones():
+    rng = np.random.default_rng(3)
+    trans = rng.normal(size=(2, 2))
+    for n in (2, 3, 50, 1000):
+        e = rng.normal(size=n) * 3
+        want, _, _ = quality.forward_backward(e[None], np.ones((1, n), bool), trans)
+        assert np.allclose(quality.long_marginals(e, trans), want[0])
+
+
+def test_document_score_equals_enumeration():
+    rng = np.random.default_rng(4)
+    d = len(quality.OWN) + 2 * len(quality.NEIGHBOUR) + 2
+    model = quality.Model(rng.normal(size=d), rng.uniform(0.5, 2, d), rng.normal(size=d), 0.3, rng.normal(size=(2, 2)))
+    texts = ["One line here.\nBUY NOW $$$ 99\n\nOne line here.", "", "x"]
+    for text, got in zip(texts, model.score(texts)):
+        x, _ = quality.line_features([text])
+        e = ((x - model.mean) / model.scale) @ model.weights + model.bias
+        size = np.array([len(line.encode()) + 1 for line in text.split("\n")])
+        total, good = 0.0, np.zeros(len(e))
+        for k in range(1 << len(e)):
+            y = np.array([(k >> i) & 1 for i in range(len(e))])
+            p = np.exp((e * y).sum() + sum(model.trans[y[i], y[i + 1]] for i in range(len(e) - 1)))
+            total, good = total + p, good + p * y
+        assert np.isclose(got, (good / total * size).sum() / size.sum())
+
+
+def test_texts_of_very_many_lines(monkeypatch):
+    d = len(quality.OWN) + 2 * len(quality.NEIGHBOUR) + 2
+    rng = np.random.default_rng(5)
+    model = quality.Model(np.zeros(d), np.ones(d), rng.normal(size=d), 0.1, rng.normal(size=(2, 2)))
+    texts = ["".join(random.choice(["a b c d\n", "\n", "Some more. \n"]) for _ in range(700)), "short\ntext", "\n" * 300]
+    want = model.score(texts)
+    monkeypatch.setattr(quality, "LINES", 64)
+    monkeypatch.setattr(quality, "LONG", 100)
+    assert np.allclose(model.score(texts), want)
+    assert 0 <= model.score(["\n" * 1_000_000])[0] <= 1
+
+
 def test_pii(spark):
     t = ["Mail Ann.Lee@x.org or ann.lee@x.org, call +1 (456) 555-2186.", "+1 (456) 555-2186 again; card 4111 1111 1111 1111", "Mr. John Smith met Mrs. Smith; город", "plain", None, "", 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"', "10.1.2.3 and 10.1.2.3", "v1.2.3", "plain"]
     rows = pii.replace_entities(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()
