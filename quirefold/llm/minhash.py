@@ -7,7 +7,9 @@ each region's darts come from its own hash, so texts that share an element
 share its darts.  A dart counts if it lies below the element's weight; each
 dart belongs to one of the signature's coordinates, and a coordinate keeps its
 earliest dart.  Two texts agree in a coordinate with the probability of their
-weighted Jaccard similarity.
+weighted Jaccard similarity.  A text with repeated runs has a second signature,
+in which every weight is 1; the others' weights are 1 already, so their one
+signature meets both kinds.
 
 Signatures are banded.  Exact copies are one representative from the start.
 In every bucket one member, the one with most company in all its buckets, is
@@ -21,8 +23,9 @@ pairs of different classes that pass are compared, with more members in each
 round, until none is left.  No candidate is dropped.  Comparisons are exact: a link needs a Jaccard similarity of 0.8 or more,
 either of the sets or of the multisets of five-word runs.
 
-With 40 bands of 6, a pair at exactly 0.8 shares no bucket with probability
-5e-6.
+With 40 bands of 6, a pair at exactly 0.8, of the sets or the multisets, shares
+no bucket with probability 5e-6.  Texts meet pairs in sorted joins at every
+size; very common buckets do not meet in one task (``common.join_keys``).
 
 Defined cases: a null or empty text, or one without words, is alone in its
 class; a text of fewer than five words is one run; rows with the same id are
@@ -41,14 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, by_size, durable, emit, id_and_text
+from .common import arrow_batches, by_size, durable, emit, id_and_text, join_keys
 from .components import components
 from .words import GOLDEN, grams, mix, signed, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
-#: Pairs or ids that may be broadcast, counted first (two longs each, so some tens of MB); more of them are joined by shuffling texts.
-BROADCAST_ROWS = 1_000_000
 #: Area of a region in rank: darts of one region come one after another, so it bounds the steps.
 _AREA = 8.0
 
@@ -149,9 +150,13 @@ def _sign(batches):
             lows.append(int(h[1]))
             sets.append(np.unique(grams(word_hashes(words), WORDS), return_counts=True))
         if ids:
-            bands = signed(band_hashes(signatures(sets)))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            yield from emit({"doc_id": ids, "high": highs, "low": lows, "bands": flat}, _SIGNED)
+            bands = list(signed(band_hashes(signatures(sets))))
+            again = [k for k, (_, w) in enumerate(sets) if w.max() > 1]
+            if again:
+                flat = signed(band_hashes(signatures([(sets[k][0], np.ones_like(sets[k][1])) for k in again])))
+                for k, own in zip(again, flat):
+                    bands[k] = np.concatenate([bands[k], own])
+            yield from emit({"doc_id": ids, "high": highs, "low": lows, "bands": bands}, _SIGNED)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -167,19 +172,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(similar(own, weighted_set(tb)))
             yield from t.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).to_batches()
 
-    few = pairs.count() <= BROADCAST_ROWS
-    heads = pairs.select("a").distinct()
-    if few:
-        pairs, heads = F.broadcast(pairs), F.broadcast(heads)
-    first = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).join(pairs, "b")
-    both = first.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).join(heads, "a", "left_semi"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    # Sorted joins whatever the size, so that cost grows in proportion.
+    first = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).join(pairs.hint("merge"), "b")
+    heads = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).join(pairs.select("a").distinct().hint("merge"), "a", "left_semi")
+    return first.join(heads.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _only(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """The texts of these members."""
-    ids = durable(members.select("rep").distinct())
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "rep", "left_semi")
+    """The texts of these members, kept in the shared folder."""
+    return durable(texts.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,17 +192,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # A document that comes in several rows takes part with one of them.
     single = signed_docs.groupBy("doc_id").agg(F.min(F.struct("high", "low", "bands")).alias("s")).select("doc_id", "s.*") if _repeats(signed_docs) else signed_docs
     reps = durable(single.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
-    entries = reps.select("rep", F.explode("bands").alias("bucket"))
+    entries = reps.select("rep", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = durable(entries.join(shared, "bucket").groupBy("bucket", "rep").agg(F.max("n").alias("n")))
+    members = reps.agg(F.sum(F.size("bands"))).first()[0] or 0
+    entries = durable(join_keys(entries, shared.withColumn("held", F.col("n")), ["bucket"], members))
     # What has most company in its buckets is nearest to the middle of its group and links most of it.
-    central = entries.groupBy("rep").agg(F.sum("n").alias("company"))
+    central = entries.groupBy("rep").agg(F.sum("held").alias("company"))
     entries = durable(entries.join(central, "rep").select("bucket", "rep", F.struct(-F.col("company"), F.xxhash64("rep"), F.col("rep")).alias("draw")))
 
     rep_texts = texts.withColumnRenamed("doc_id", "rep")
     if _repeats(signed_docs):
         rep_texts = rep_texts.groupBy("rep").agg(F.min("text").alias("text"))
-    rep_texts = durable(_only(rep_texts, entries))
+    rep_texts = _only(rep_texts, entries)
     order = entries.select("rep", "draw").distinct()
     links = labels = None
     done, leaders = 0, 1
@@ -210,9 +212,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     exact = False
     while True:
         # The first ``leaders`` members of a bucket are compared with all after them.
-        heads = _heads(open_, done, leaders)
         enough = F.least("a_follow", "follow") >= SIMILARITY / (1 + SIMILARITY) * (F.col("a_n") + F.col("n")) - 1e-9
-        pairs = open_.join(heads, "bucket").where((F.col("draw") > F.col("a_draw")) & (F.col("label") != F.col("a_label")) & enough)
+        pairs = _met(open_, done, leaders).where((F.col("draw") > F.col("a_draw")) & (F.col("label") != F.col("a_label")) & enough)
         pairs = durable(pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
         if links is None or not pairs.isEmpty():
             new = durable(_verified(pairs, rep_texts))
@@ -226,7 +227,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             done, leaders = leaders, 16 * leaders
         else:
             exact = True
-            entries = durable(_rare_runs(_only(rep_texts, open_)).join(order, "rep").select("bucket", "rep", "draw", "n", "follow"))
+            rep_texts = _only(rep_texts, open_)
+            entries = durable(_rare_runs(rep_texts).join(order, "rep").select("bucket", "rep", "draw", "n", "follow"))
             open_ = durable(_mixed(entries, labels, 1))
             if open_.isEmpty():
                 break
@@ -238,9 +240,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _mixed(entries: DataFrame, labels: DataFrame, more_than: int) -> DataFrame:
     """Members, with their labels, of the buckets that hold different labels and more than so many members."""
-    known = entries.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", "draw", "n", "follow", F.coalesce("label", "rep").alias("label"))
-    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    return known.join(mixed.where((F.col("x") != F.col("y")) & (F.col("n") > more_than)).select("bucket"), "bucket")
+    known = durable(entries.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", "draw", F.col("n").alias("size"), "follow", F.coalesce("label", "rep").alias("label")))
+    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("x") != F.col("y")) & (F.col("n") > more_than))
+    return join_keys(known, mixed.select("bucket", "n"), ["bucket"], known.count()).withColumnRenamed("size", "n")
 
 
 _RUNS = pa.schema([("rep", pa.int64()), ("kind", pa.int32()), ("first", pa.int32()), ("runs", pa.list_(pa.int64()))])
@@ -279,14 +281,16 @@ def _rare_runs(texts: DataFrame) -> DataFrame:
     return rarest.select(F.xxhash64("kind", "x.run").alias("bucket"), "rep", "n", (F.col("held") - F.col("at")).alias("follow"))
 
 
-def _heads(drawn: DataFrame, done: int, leaders: int) -> DataFrame:
-    """Members ``done`` to ``leaders`` of each bucket in its order."""
-    named = [F.col(c).alias(n) for c, n in (("rep", "a"), ("draw", "a_draw"), ("label", "a_label"), ("n", "a_n"), ("follow", "a_follow"))]
-    if leaders == 1:  # an aggregate combines before the shuffle
-        first = drawn.groupBy("bucket").agg(F.min_by(F.struct("rep", "draw", "label", "n", "follow"), "draw").alias("x"))
-        return first.select("bucket", "x.*").select("bucket", *named)
+def _met(members: DataFrame, done: int, leaders: int) -> DataFrame:
+    """All members of each bucket beside its members ``done`` to ``leaders`` in its order."""
+    named = {"rep": "a", "draw": "a_draw", "label": "a_label", "n": "a_n", "follow": "a_follow"}
+    if leaders == 1:  # an aggregate combines before the shuffle, and the heads of very common buckets are few
+        first = members.groupBy("bucket").agg(F.min_by(F.struct(*named), "draw").alias("x"), F.count(F.lit(1)).alias("n"))
+        heads = first.select("bucket", "n", *[F.col(f"x.{c}").alias(name) for c, name in named.items()])
+        return join_keys(members.withColumnRenamed("n", "size"), heads, ["bucket"], members.count()).withColumnRenamed("size", "n")
     at = Window.partitionBy("bucket").orderBy("draw")
-    return drawn.withColumn("place", F.row_number().over(at)).where((F.col("place") > done) & (F.col("place") <= leaders)).select("bucket", *named)
+    heads = members.withColumn("place", F.row_number().over(at)).where((F.col("place") > done) & (F.col("place") <= leaders))
+    return members.join(heads.select("bucket", *[F.col(c).alias(name) for c, name in named.items()]), "bucket")
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quirefold.llm import bpe, forest, gif, linededup, media, minhash, packing, pii, quality, suffix, tokencount, wordbpe
+from quirefold.llm import common as llm_common
 from quirefold.llm.common import shared_dir
 from quirefold.llm.queries import ORACLE, QUERIES, tokenizer_path
 
@@ -294,12 +295,18 @@ def _near_texts():
         texts.append(" ".join(own))
     passage = [word() for _ in range(50)]
     texts += [" ".join(passage + [word() for _ in range(random.choice([3, 8, 30]))]) for _ in range(60)]
+    for _ in range(10):
+        # The sets are alike, the multisets are not.
+        own = [word() for _ in range(200)]
+        texts += [" ".join(own), " ".join(own[:100] + own[100:101] * 600 + own[100:])]
+        passage = [word() for _ in range(60)]
+        texts += [" ".join(passage * 30 + own[:10]), " ".join(passage * 2 + own[:10])]
     return texts + [" ".join(word() for _ in range(40)) for _ in range(30)] + ["a b c", "a b c", "", None, "  "]
 
 
-@pytest.mark.parametrize("sent", [minhash.BROADCAST_ROWS, 0])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, sent):
-    monkeypatch.setattr(minhash, "BROADCAST_ROWS", sent)
+@pytest.mark.parametrize("common", [1 << 16, 4])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(llm_common, "COMMON", common)
     texts = _near_texts()
     sets = [minhash.weighted_set(t or "") for t in texts]
     parent = list(range(len(texts)))
