@@ -19,6 +19,7 @@ Sorting is by range with the document as the last key, so a passage that very
 many documents share is spread over tasks.  Passages whose words to the right
 are those at the border of a batch or a task may go on beyond it: of each, the
 occurrences in the batch's smallest document are grouped over the cluster.
+Seeds that very many suffixes have do not meet in one task (``common.join_keys``).
 
 Defined cases: a null or empty text, or one of fewer than ``LEAST`` words, has
 no repeat; rows with the same id are one document, of which one text takes
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, by_size, durable, emit, id_and_text
+from .common import arrow_batches, by_size, durable, emit, id_and_text, join_keys
 from .words import grams, mix, signed, word_hashes
 
 LEAST, GRAM, WINDOW = 50, 10, 32
@@ -226,8 +227,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     same = seeded.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("copy"), F.min_by(F.struct("seeds", "at", "first", "last"), "doc_id").alias("s"))
     suffixes = same.select("rep", F.explode(F.arrays_zip("s.seeds", "s.at", "s.first", "s.last")).alias("x")).select("rep", F.col("x.seeds").alias("seed"), "x.at", "x.first", "x.last")
     suffixes = durable(suffixes)
-    shared = suffixes.groupBy("seed").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("seed")
-    wanted = suffixes.join(shared, "seed").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("at", "first", "last")).alias("places"))
+    shared = suffixes.groupBy("seed").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("seed", "n")
+    wanted = join_keys(suffixes, shared, ["seed"], suffixes.count()).groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("at", "first", "last")).alias("places"))
     rows = texts.join(wanted, "doc_id").mapInArrow(_context, "doc_id long, at long, first long, last long, right binary, left binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(tasks, "right", "doc_id", "at").sortWithinPartitions("right", "doc_id", "at")

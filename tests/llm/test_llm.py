@@ -435,6 +435,31 @@ def test_repeated_passage_stays_in_smallest_document_only(spark):
     assert removable_words(texts, suffix.repeated_passages(d).collect()) == want
 
 
+def test_no_passage_is_lost_among_documents_that_share_its_end(spark):
+    random.seed(18)
+    fresh = lambda n: ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    texts, want = {}, {}
+    for f in range(40):
+        passage, holders = fresh(55), random.sample(range(32), 2)
+        for k in range(32):
+            i, at = f * 32 + k, random.randint(0, 40)
+            part = passage if k in holders else passage[-30:]
+            texts[i] = fresh(at) + part + fresh(random.randint(1, 40))
+            if k in holders:
+                want[i] = [(at, at + 55)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, suffix.repeated_passages(d).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    assert found[0] == found[1]
+    assert {i: [(s, e) for j, s, e, _, _ in found[0] if j == i] for i in want} == want and len(found[0]) == 80
+
+
 def test_passages_repeated_within_documents_at_borders(spark):
     random.seed(17)
     fresh = lambda n: ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
