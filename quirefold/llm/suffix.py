@@ -35,7 +35,6 @@ import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_batches, by_size, durable, emit, id_and_text, join_keys
 from .words import grams, mix, signed, word_hashes
@@ -224,7 +223,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     seeded = durable(texts.mapInArrow(_seed, "doc_id long, high long, low long, n_words long, seeds array<long>, at array<int>, first array<int>, last array<int>"))
-    same = seeded.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("copy"), F.min_by(F.struct("seeds", "at", "first", "last"), "doc_id").alias("s"))
+    same = seeded.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("copy"), F.min_by(F.struct("seeds", "at", "first", "last"), "doc_id").alias("s"), F.count(F.lit(1)).alias("n"))
     suffixes = same.select("rep", F.explode(F.arrays_zip("s.seeds", "s.at", "s.first", "s.last")).alias("x")).select("rep", F.col("x.seeds").alias("seed"), "x.at", "x.first", "x.last")
     suffixes = durable(suffixes)
     shared = suffixes.groupBy("seed").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("seed", "n")
@@ -233,13 +232,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(tasks, "right", "doc_id", "at").sortWithinPartitions("right", "doc_id", "at")
     found = durable(ordered.mapInArrow(_scan, "doc_id long, start long, end long, other long, left long, right long"))
-    alike = Window.partitionBy("left", "right")
-    asked = found.where("left IS NOT NULL").select("*", F.min("doc_id").over(alike).alias("least"), F.max("doc_id").over(alike).alias("most")).where("least < most")
+    asked = found.where("left IS NOT NULL")
+    alike = asked.groupBy("left", "right").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    asked = join_keys(asked, alike, ["left", "right"], asked.count())
     beyond = asked.withColumn("other", F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least")))
     matches = found.where("left IS NULL").select(*_MATCH.names).union(beyond.select(*_MATCH.names))
 
-    groups = same.where("rep < copy").select("high", "low", "rep", "copy")
-    whole = seeded.select("doc_id", "high", "low", "n_words").join(groups, ["high", "low"])
+    groups = same.where("rep < copy").select("high", "low", "rep", "copy", "n")
+    whole = join_keys(seeded.select("doc_id", "high", "low", "n_words"), groups, ["high", "low"], seeded.count())
     whole = whole.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.when(F.col("doc_id") == F.col("rep"), F.col("copy")).otherwise(F.col("rep")).alias("other"))
     spans = matches.union(whole).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "other")).alias("spans"))
     return spans.select("doc_id", "spans", F.lit("x" * 64).alias("weight")).mapInArrow(_join_spans, PASSAGE)
