@@ -278,9 +278,62 @@ def test_pii(spark):
 
 
 def test_surrogates_are_distinct(spark):
-    e = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, canon string")
+    e = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)] + [("word", x) for x in "abcdefgh"], "kind string, canon string")
     got = pii.surrogates(e).collect()
-    assert len(got) == 300 and len({r["surrogate"] for r in got}) == 300 and not {r["surrogate"] for r in got} & {r["canon"] for r in got}
+    assert len(got) == 308 and len({r["surrogate"] for r in got}) == 308 and not {r["surrogate"] for r in got} & {r["canon"] for r in got}
+    assert {r["surrogate"] for r in pii.surrogates(e, "another key").collect()} != {r["surrogate"] for r in got}
+
+
+def test_surrogates_end_where_entities_outnumber_values(spark, monkeypatch):
+    # No draw below this one counts, so only widened formats are left.
+    monkeypatch.setattr(pii, "WIDEN", 0)
+    kinds = {"ssn": "123456789", "ip": "1.2.3.4", "card": "4111111111111111", "phone": "4565552186", "word": "王", "secret": "!!!!!!", "email": "a@b.org"}
+    e = spark.createDataFrame([(k, c[:-1] + chr(ord(c[-1]) + i)) for k, c in kinds.items() for i in range(5)], "kind string, canon string")
+    got = pii.surrogates(e).collect()
+    assert len({r["surrogate"] for r in got}) == 35
+    one = spark.createDataFrame([("word", chr(0x4E00 + i)) for i in range(90)], "kind string, canon string")
+    monkeypatch.setattr(pii, "WIDEN", 2)
+    assert len({r["surrogate"] for r in pii.surrogates(one).collect()}) == 90
+
+
+def test_persons_keep_one_name(spark):
+    t = ["Mr. John Smith and Dr. John Smith; Smith and John Smith, SMITH.", "Mr. John Ronald Smith met Ms. Sean O'Brien and Mrs. Anne-Marie Petit", "Smith alone", "Mr. 王小明, Dr. أحمد and г-н Иван Петров", "Mr. J. Smith"]
+    out = [r["text"] for r in pii.replace_entities(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    words = lambda s: s.replace(",", "").replace(";", "").replace(".", "").split()
+    _, john, smith, _, _, john2, smith2, smith3, _, john4, smith4, caps = words(out[0])
+    assert john == john2 == john4 and smith == smith2 == smith3 == smith4 and caps == smith.upper() and smith != "Smith" and john != "John"
+    assert john.endswith("n")
+    second = words(out[1])
+    assert second[1] == john and second[3] == smith and second[2] != "Ronald"
+    assert second[7].startswith("O'") and second[7] != "O'Brien" and second[10].count("-") == 1 and "Marie" not in second[10]
+    assert out[2] == t[2] and out[4].startswith("Mr. J. ") and words(out[4])[2] == smith
+    _, han, _, arabic, _, _, given, family = words(out[3])
+    assert han != "王小明" and all("\u4e00" <= c <= "\u9fff" for c in han) and len(han) == 3
+    assert arabic != "أحمد" and all("\u0600" <= c <= "\u06ff" for c in arabic)
+    assert given != "Иван" and family != "Петров" and all("\u0400" <= c <= "\u04ff" for c in given + family) and given[0].isupper()
+
+
+def test_numbers_keep_their_rules(spark):
+    t = ["+1 (456) 555-2186 is 456-555-2186", "DE89370400440532013000", "123-45-6789", "password=!!!!!!!! and token: abcdef12", "GB29NWBK60161331926819"]
+    out = [r["text"] for r in pii.replace_entities(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    a, b = out[0].split(" is ")
+    assert digits(a) == "1" + digits(b) and "555" != digits(b)[3:6] and a.startswith("+1 (")
+    for k in (1, 4):
+        moved = out[k][4:] + out[k][:4]
+        assert out[k] != t[k] and out[k][:2] == t[k][:2] and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    area, group, serial = out[2].split("-")
+    assert area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+    assert "!!!!!!!!" not in out[3] and "abcdef12" not in out[3] and out[3].startswith("password=")
+
+
+def test_pii_edges(spark, empty):
+    assert pii.replace_entities(empty).count() == 0
+    long = "word " * 60_000 + "a@b.org " + "Mr. Quill " * 50
+    d = spark.createDataFrame([(1, "a@b.org", "x", 5), (1, "a@b.org", "y", 6), (None, None, "z", 7), (2, long, "w", 8)], "doc_id long, text string, digest string, n_entities int")
+    got = pii.replace_entities(d).collect()
+    assert sorted(r["n_entities"] for r in got) == [0, 1, 1, 51] and {r["digest"] for r in got} == set("xyzw")
+    assert all("a@b.org" not in (r["text"] or "") and "Quill" not in (r["text"] or "") for r in got)
 
 
 def _near_texts():
