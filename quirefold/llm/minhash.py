@@ -174,8 +174,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     # Sorted joins whatever the size, so that cost grows in proportion.
     first = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).join(pairs.hint("merge"), "b")
-    heads = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).join(pairs.select("a").distinct().hint("merge"), "a", "left_semi")
-    return first.join(heads.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    both = first.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _only(texts: DataFrame, members: DataFrame) -> DataFrame:
