@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 # Word lists of the query semantics.
 ASSESSMENT_STOP = "a an about and are can could does for from how in is of on the to what when where why".split()
-INTENT = "a an about and can could explain for give handling how i in is me of on please show tell the to what".split()
+INTENT = "a an about and can could explain for give handling how i in is me of on please show tell the to what code".split()
 MODES = {
     "comparison": "compare comparison versus vs difference tradeoff tradeoffs pros cons".split(),
     "examples": "example examples sample samples".split(),
@@ -36,7 +36,7 @@ def topic_tokens(value: Column) -> Column:
 
 def answer_topic_tokens(value: Column) -> Column:
     """Answer topics: also without the words that only ask for a mode."""
-    return _set_of(words(value), INTENT + ["code"] + [w for ws in MODES.values() for w in ws])
+    return _set_of(words(value), INTENT + [w for ws in MODES.values() for w in ws])
 
 
 def digit_guards(value: Column) -> Column:

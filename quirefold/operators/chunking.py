@@ -1,21 +1,35 @@
-"""Token windows over pages, with structure, overlap and page bounds."""
+"""Token windows over pages, with structure, overlap and page bounds.
+
+A book is cut into segments: a page that opens with a heading starts one, and an
+excluded page ends one and clears the headings in force.  Token places are
+running totals over a book.  Inside a segment a window begins at a place and
+reaches as far as ``tokens`` and the first ``pages`` page numbers from its own
+page allow; the next one begins ``overlap`` tokens before that end, or at the
+end where the window is not longer than the overlap.  A window that would end
+no later than the one before is left out, and none crosses a segment.
+
+Only page numbers and token places are gathered by segment; the words meet their
+windows in a join on the page, so a book of any length is spread over tasks.
+
+Defined cases: a page whose text is null is excluded; one that is empty after
+normalisation has no place; a book without words has no chunks.
+"""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
-from hashlib import sha256
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import HEADING
+from ..functions import text as T
 
-_HEADING = re.compile(HEADING)
-_LOOSE_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")
+#: Part of every chunk's identity; raised when the rules change.
+VERSION = "windows-2"
 
 
 @dataclass(frozen=True)
@@ -24,153 +38,104 @@ class Policy:
     overlap: int = 8
     pages: int = 2
 
+    @property
+    def label(self) -> str:
+        return f"{self.tokens}/{self.overlap}/{self.pages}"
 
-def word_encode(text: str) -> list[str]:
-    return text.split()
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """How a page becomes tokens, what joins them again, and the tokens between two pages of a segment."""
 
-def char_encode(text: str) -> list[str]:
-    return list(text)
+    split: Callable[[Column], Column]
+    glue: str
+    between: tuple[str, ...] = ()
 
 
-TOKENIZERS: dict[str, tuple[Callable[[str], list[str]], Callable[[list[str]], str]]] = {
-    "word": (word_encode, " ".join),
-    "char": (char_encode, "".join),
+TOKENIZERS: dict[str, Tokenizer] = {
+    "word": Tokenizer(lambda text: F.regexp_extract_all(text, F.lit(r"\S+"), 0), " "),
+    "char": Tokenizer(lambda text: F.filter(F.split(text, ""), lambda c: c != ""), "", ("\n",)),
 }
 
 
-def normalize(text: str) -> str:
-    text = _LOOSE_CONTROL.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
-    return "\n".join(line.rstrip() for line in unicodedata.normalize("NFC", text).split("\n")).strip()
-
-
-def heading_of(text: str) -> tuple[str, str]:
-    """(chapter, section) that the first line of a normalised page opens."""
-    line = text.split("\n", 1)[0].strip()
-    m = _HEADING.match(line)
-    if not m:
-        return "", ""
-    return ("", line) if m[1].lower() == "section" else (line, "")
-
-
-@dataclass
-class Windows:
-    """The open window of one document.
-
-    Tokens are numbered over the document; the open window is the stretch
-    [low, high) and ``told`` is where the emitted text ends, so "only overlap
-    is left" means high <= told.
-    """
-
-    policy: Policy
-    encode: Callable[[str], list[str]]
-    decode: Callable[[list[str]], str]
-    chapter: str = ""
-    section: str = ""
-    low: int = 0
-    high: int = 0
-    told: int = 0
-    base: int = 0  # number of the first token that is still held
-    held: list[tuple[str, int]] = field(default_factory=list)
-
-    def _page(self, number: int) -> int:
-        return self.held[number - self.base][1]
-
-    def _advance(self, to: int) -> None:
-        del self.held[: to - self.base]
-        self.low = self.base = to
-
-    def _drop_overlap(self) -> None:
-        if self.low < self.high <= self.told:
-            self._advance(self.high)
-
-    def _emit(self, size: int) -> dict:
-        part = self.held[:size]
-        out = {
-            "page_start": part[0][1], "page_end": part[-1][1], "token_start": self.low, "token_end": self.low + size,
-            "chapter": self.chapter, "section": self.section, "passage": self.decode([t for t, _ in part]).strip(),
-        }
-        self.told = self.low + size
-        return out
-
-    def _within_pages(self) -> int:
-        """Tokens of the window's first few pages."""
-        limit = self._page(self.low) + self.policy.pages
-        return next((k for k, (_, page) in enumerate(self.held) if page >= limit), len(self.held))
-
-    def _add(self, text: str, page: int) -> None:
-        tokens = self.encode(text)
-        self.held += [(t, page) for t in tokens]
-        self.high += len(tokens)
-
-    def close(self) -> Iterator[dict]:
-        """Everything that is open, without overlap beyond this point."""
-        self._drop_overlap()
-        while self.low < self.high:
-            size = min(self.high - self.low, self.policy.tokens)
-            yield self._emit(size)
-            if self.told == self.high:
-                self._advance(self.high)
-            else:
-                self._advance(self.low + self.policy.tokens - self.policy.overlap)
-                self._drop_overlap()
-
-    def boundary(self) -> Iterator[dict]:
-        """An excluded place: nothing of what came before, headings included, reaches beyond it."""
-        yield from self.close()
-        self.chapter = self.section = ""
-
-    def page(self, number: int, text: str) -> Iterator[dict]:
-        text = normalize(text)
-        if not text:
-            return
-        chapter, section = heading_of(text)
-        if chapter or section:
-            yield from self.close()
-            if chapter:
-                self.chapter, self.section = chapter, ""
-            else:
-                self.section = section
-        if self.low < self.high:
-            self._add("\n", number)
-        self._add(text, number)
-        p = self.policy
-        while self.high - self.low > p.tokens or (self.held and self.held[-1][1] - self.held[0][1] + 1 > p.pages):
-            size = min(p.tokens, self._within_pages())
-            if self.told and self.low + size <= self.told:
-                self._advance(self.low + size)
-                continue
-            yield self._emit(size)
-            self._advance(self.low + (size - p.overlap if size > p.overlap else size))
-            self._drop_overlap()
-        self._drop_overlap()
-
-
-def chunk_document(book_id: str, pages: Iterable[tuple[int, str | None]], policy: Policy = Policy(), tokenizer: str = "word") -> list[dict]:
-    """Chunks of one document; a page whose text is None is an excluded one."""
-    w = Windows(policy, *TOKENIZERS[tokenizer])
-    found: list[dict] = []
-    for number, text in pages:
-        found += w.boundary() if text is None else w.page(number, text)
-    found += w.close()
-    for order, c in enumerate(found):
-        identity = (book_id, order, c["page_start"], c["page_end"], c["token_start"], c["token_end"], c["chapter"], c["section"])
-        c |= {"book_id": book_id, "chunk_order": order, "chunk_id": sha256("\0".join(map(str, identity)).encode()).hexdigest()[:32]}
-    return found
-
-
-SCHEMA = "book_id string, chunk_order int, chunk_id string, page_start int, page_end int, token_start long, token_end long, chapter string, section string, passage string"
-_ARROW = pa.schema([("book_id", pa.string()), ("chunk_order", pa.int32()), ("chunk_id", pa.string()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("token_start", pa.int64()), ("token_end", pa.int64()), ("chapter", pa.string()), ("section", pa.string()), ("passage", pa.string())])
+def window_bounds(starts: list[int], numbers: list[int], ends: list[int], policy: Policy) -> list[tuple[int, int]]:
+    """[start, end) of the windows of one segment, whose pages lie at ``starts`` to ``ends`` and have rising ``numbers``."""
+    out, begin, told = [], starts[0], starts[0]
+    while told < ends[-1]:
+        page = numbers[bisect_right(ends, begin)]
+        end = min(begin + policy.tokens, ends[bisect_left(numbers, page + policy.pages) - 1])
+        if end > told:
+            out.append((begin, end))
+            told = end
+            begin = end - policy.overlap if end - begin > policy.overlap else end
+        else:
+            begin = end
+    return out
 
 
-def chunk_windows(pages: DataFrame, policy: Policy = Policy(), tokenizer: str = "word") -> DataFrame:
-    """Chunks of all books of ``pages(book_id, page_no, text)``; one shuffle, by book."""
+_PIECES = pa.list_(pa.struct([("page_no", pa.int32()), ("skip", pa.int32()), ("take", pa.int32())]))
+_WINDOW = pa.schema([("book_id", pa.string()), ("chapter", pa.string()), ("section", pa.string()), ("token_start", pa.int64()), ("token_end", pa.int64()), ("pieces", _PIECES)])
+WINDOW = "book_id string, chapter string, section string, token_start long, token_end long, pieces array<struct<page_no:int,skip:int,take:int>>"
+
+
+def _windows(policy: Policy):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                starts, numbers, ends = ([p[k] for p in r["places"]] for k in ("start", "page_no", "end"))
+                for a, b in window_bounds(starts, numbers, ends, policy):
+                    first, last = bisect_right(ends, a), bisect_left(ends, b)
+                    pieces = [{"page_no": numbers[k], "skip": max(a - starts[k], 0), "take": min(b, ends[k]) - max(a, starts[k])} for k in range(first, last + 1)]
+                    rows.append({"book_id": r["book_id"], "chapter": r["chapter"], "section": r["section"], "token_start": a, "token_end": b, "pieces": pieces})
+            yield from pa.Table.from_pylist(rows, schema=_WINDOW).to_batches()
+
+    return run
+
+
+def placed_pages(pages: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """Pages that hold words: book_id, page_no, tokens, segment, chapter, section, start, end."""
+    text = F.col("text")
+    own = pages.select("book_id", F.col("page_no").cast("int").alias("page_no"), T.normalize(T.nfc()(text)).alias("text"))
+    own = own.where("text IS NULL OR text <> ''").select("*", text.isNull().alias("excluded"), tokenizer.split(text).alias("tokens"), T.heading(text).alias("h"))
+    chapter, section, excluded = F.col("h.chapter"), F.col("h.section"), F.col("excluded")
+    in_order = Window.partitionBy("book_id").orderBy("page_no")
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(in_order)
+    opens = excluded | chapter.isNotNull() | section.isNotNull()
+    own = own.withColumns({"segment": count(opens), "island": count(excluded | chapter.isNotNull()), "first": opens | F.coalesce(F.lag("excluded").over(in_order), F.lit(True))})
+    island = Window.partitionBy("book_id", "island")
+    none = F.lit("")
+    own = own.withColumns({"chapter": F.coalesce(F.max(chapter).over(island), none), "section": F.coalesce(F.last(section, ignorenulls=True).over(island.orderBy("page_no")), none)})
+    if tokenizer.between:
+        own = own.withColumn("tokens", F.when(F.col("first"), F.col("tokens")).otherwise(F.concat(F.array(*map(F.lit, tokenizer.between)), F.col("tokens"))))
+    size = F.coalesce(F.size("tokens"), F.lit(0))
+    own = own.withColumn("n", F.when(excluded, 0).otherwise(size)).withColumn("end", F.sum("n").over(in_order))
+    return own.where(~excluded & (F.col("n") > 0)).select("book_id", "page_no", "tokens", "segment", "chapter", "section", (F.col("end") - F.col("n")).alias("start"), "end")
 
-    def run(key, table):
-        rows = sorted(zip(table["page_no"].to_pylist(), table["text"].to_pylist()), key=lambda r: r[0])
-        return pa.Table.from_pylist(chunk_document(key[0].as_py(), rows, policy, tokenizer), schema=_ARROW)
 
-    return pages.select("book_id", "page_no", "text").groupBy("book_id").applyInArrow(run, SCHEMA)
+def chunk_windows(pages: DataFrame, policy: Policy = Policy(), tokenizer: str = "word") -> DataFrame:
+    """Chunks of all books of ``pages(book_id, page_no, text)``."""
+    how = TOKENIZERS[tokenizer]
+    placed = placed_pages(pages, how)
+    segments = placed.groupBy("book_id", "segment", "chapter", "section").agg(F.sort_array(F.collect_list(F.struct("start", "page_no", "end"))).alias("places"))
+    windows = segments.select("book_id", "chapter", "section", "places").mapInArrow(_windows(policy), WINDOW)
+    windows = windows.withColumn("chunk_order", (F.row_number().over(Window.partitionBy("book_id").orderBy("token_start")) - 1).cast("int"))
+    numbers = F.transform("pieces", lambda p: p["page_no"])
+    pieces = windows.select("book_id", "chunk_order", "chapter", "section", "token_start", "token_end", F.element_at(numbers, 1).alias("page_start"), F.element_at(numbers, -1).alias("page_end"), F.explode("pieces").alias("piece"))
+    pieces = pieces.select("*", F.col("piece.page_no").alias("page_no"))
+    met = pieces.join(placed.select("book_id", "page_no", "tokens"), ["book_id", "page_no"])
+    part = F.struct("page_no", F.slice("tokens", F.col("piece.skip") + 1, F.col("piece.take")).alias("tokens"))
+    whole = met.groupBy("book_id", "chunk_order", "chapter", "section", "token_start", "token_end", "page_start", "page_end").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    passage = F.btrim(F.array_join(F.flatten(F.transform("parts", lambda p: p["tokens"])), how.glue), F.lit(" \t\n"))
+    chunks = whole.withColumn("passage", passage)
+    return chunks.select("book_id", "chunk_order", chunk_id(policy).alias("chunk_id"), "page_start", "page_end", "token_start", "token_end", "chapter", "section", "passage")
+
+
+def chunk_id(policy: Policy) -> Column:
+    """The first half of a digest of all that makes a chunk what it is, its text and the rules included."""
+    places = [F.col(c).cast("string") for c in ("chunk_order", "page_start", "page_end", "token_start", "token_end")]
+    identity = F.concat_ws("\0", "book_id", *places, "chapter", "section", F.sha2(F.col("passage").cast("binary"), 256), F.lit(policy.label), F.lit(VERSION))
+    return F.substring(F.sha2(identity.cast("binary"), 256), 1, 32)
 
 
 def shards(chunks: DataFrame, per_shard: int = 256) -> DataFrame:

@@ -12,7 +12,7 @@ from ..sources import tables as V
 from .registry import query
 from .search import _accepted, _fused, _ACCEPTED
 
-_HEAD = r"(?i)^(chapter|part|section)\s+(?:[0-9]+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten)(?:\s*[:.\-]\s*|\s+|$)(.{0,200})$"
+_HEAD = T.HEADING
 _RTRIM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '[\x00-\x08\x0b-\x1f\x7f]', '', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g')"
 
 
@@ -86,7 +86,24 @@ def token_offsets(t):
     return p.select("book_id", "page_no", F.col("n").cast("long").alias("n"), F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("token_start"))
 
 
-@query()
+# Windows of 64 tokens that overlap by 8 and reach over 2 page numbers, stepped through one after another.
+_PAGE = "list_min(list_transform(list_filter(places, lambda x: x.e > {s}), lambda x: x.p))"
+_REACH = "least({s} + 64, list_max(list_transform(list_filter(places, lambda x: x.p < " + _PAGE + " + 2), lambda x: x.e)))"
+_NEXT = "CASE WHEN w.e <= w.told THEN w.e WHEN w.e - w.s > 8 THEN w.e - 8 ELSE w.e END"
+
+
+@query(rf"""SELECT * FROM (WITH RECURSIVE norm AS (SELECT book_id, page_no, {_RTRIM.replace("(text,", "(nfc_normalize(text),")} AS text FROM v_pages),
+heads AS (SELECT *, regexp_extract_all(text, '\S+') AS tokens, trim(string_split(text, chr(10))[1]) AS line FROM norm WHERE text <> ''),
+kinds AS (SELECT *, lower(regexp_extract(line, '{_HEAD}', 1)) AS kind FROM heads),
+marked AS (SELECT *, CASE WHEN kind IN ('chapter', 'part') THEN line END AS chapter, CASE WHEN kind = 'section' THEN line END AS section, CASE WHEN kind <> '' THEN 1 END AS opens FROM kinds),
+cut AS (SELECT *, count(opens) OVER o AS segment, count(chapter) OVER o AS island, CAST(sum(len(tokens)) OVER o AS BIGINT) AS e FROM marked WINDOW o AS (PARTITION BY book_id ORDER BY page_no)),
+named AS (SELECT *, coalesce(max(chapter) OVER (PARTITION BY book_id, island), '') AS ch, coalesce(last_value(section IGNORE NULLS) OVER (PARTITION BY book_id, island ORDER BY page_no), '') AS sec FROM cut),
+g AS (SELECT book_id, segment, ch, sec, list({{'p': page_no, 'e': e}} ORDER BY page_no) AS places, flatten(list(tokens ORDER BY page_no)) AS words, CAST(min(e - len(tokens)) AS BIGINT) AS low, max(e) AS final FROM named GROUP BY ALL),
+w AS (SELECT book_id, segment, low AS s, low AS told, {_REACH.format(s="low")} AS e FROM g
+  UNION ALL SELECT w.book_id, w.segment, {_NEXT}, greatest(w.told, w.e), {_REACH.format(s="(" + _NEXT + ")")} FROM w JOIN g ON w.book_id = g.book_id AND w.segment = g.segment WHERE w.e < g.final),
+chunks AS (SELECT w.book_id, CAST(row_number() OVER (PARTITION BY w.book_id ORDER BY w.s) - 1 AS INTEGER) AS chunk_order, CAST({_PAGE.format(s="w.s")} AS INTEGER) AS page_start, CAST({_PAGE.format(s="w.e - 1")} AS INTEGER) AS page_end,
+  w.s AS token_start, w.e AS token_end, ch AS chapter, sec AS section, array_to_string(words[w.s - low + 1 : w.e - low], ' ') AS passage FROM w JOIN g ON w.book_id = g.book_id AND w.segment = g.segment WHERE w.e > w.told)
+SELECT *, substr(sha256(concat_ws(chr(0), book_id, chunk_order, page_start, page_end, token_start, token_end, chapter, section, sha256(passage), '64/8/2', 'windows-2')), 1, 32) AS chunk_id FROM chunks)""")
 def chunk_windows(t):
     return chunking.chunk_windows(V.pages(t))
 
@@ -106,11 +123,11 @@ def chunk_reason(t):
     return V.evidence(t).select("evidence_id", selection.first_reason(checks).alias("reason"))
 
 
-@query("SELECT book_id, page_no, substr(sha256(concat(book_id, '|', page_no, '|', length(text))), 1, 32) AS chunk_id FROM v_pages")
+@query("SELECT book_id, page_no, substr(sha256(concat_ws(chr(0), book_id, page_no, page_no, page_no, 0, length(text), '', '', sha256(text), '64/8/2', 'windows-2')), 1, 32) AS chunk_id FROM v_pages")
 def chunk_stable_id(t):
-    """The first half of a digest of the chunk's identity."""
-    identity = F.concat_ws("|", "book_id", F.col("page_no").cast("string"), F.length("text").cast("string"))
-    return V.pages(t).select("book_id", "page_no", F.substring(F.sha2(identity.cast("binary"), 256), 1, 32).alias("chunk_id"))
+    """The identity of a page taken as one chunk: order, places, headings, text, policy and version."""
+    page = V.pages(t).select("book_id", "page_no", F.col("page_no").alias("chunk_order"), F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"), F.lit(0).alias("token_start"), F.length("text").alias("token_end"), F.lit("").alias("chapter"), F.lit("").alias("section"), F.col("text").alias("passage"))
+    return page.select("book_id", "page_no", chunking.chunk_id(chunking.Policy()).alias("chunk_id"))
 
 
 @query("""WITH s AS (SELECT book_id, (page_no - 1) // 8 AS shard, count(*) AS n_chunks, min(page_no) AS first_order, max(page_no) AS last_order, sum(strlen(text)) AS n_bytes FROM v_pages GROUP BY ALL)

@@ -52,30 +52,51 @@ def test_fusion_orders_only(spark):
     assert got[0]["score"] == 0.5 and math.isclose(got[0]["fused"], round(1 / 62 + 1 / 61, 9))
 
 
-def test_chunks_cover_without_gap():
+def chunks(spark, pages, policy=chunking.Policy(50, 5, 2), tokenizer="word"):
+    d = spark.createDataFrame([("b", *p) for p in pages], "book_id string, page_no int, text string").repartition(3)
+    return chunking.chunk_windows(d, policy, tokenizer).orderBy("chunk_order").collect()
+
+
+def test_chunks_cover_without_gap(spark):
     pages = [(1, "Chapter 1: x\n" + " ".join(f"w{i}" for i in range(200))), (2, "   "), (3, " ".join(f"v{i}" for i in range(30))), (4, "Section 2. y\nz z z")]
-    policy = chunking.Policy(tokens=50, overlap=5, pages=2)
-    found = chunking.chunk_document("b", pages, policy)
+    found = chunks(spark, pages)
     for a, b in zip(found, found[1:]):
         assert a["token_start"] < b["token_start"] and a["token_end"] < b["token_end"]
         assert b["token_start"] in (a["token_end"], a["token_end"] - 5)
     assert found[-1]["section"] == "Section 2. y" and found[-1]["token_start"] == found[-2]["token_end"]
     assert all(c["token_end"] - c["token_start"] <= 50 and c["page_end"] - c["page_start"] < 2 for c in found)
-    assert len({c["chunk_id"] for c in found}) == len(found)
-    assert chunking.chunk_document("b", pages, policy) == found
+    assert len({c["chunk_id"] for c in found}) == len(found) and [c["chunk_order"] for c in found] == list(range(len(found)))
+    assert chunks(spark, pages) == found
+    words = " ".join(t for _, t in pages).split()
+    assert all(c["passage"] == " ".join(words[c["token_start"] : c["token_end"]]) for c in found)
+    changed = chunks(spark, [*pages[:3], (4, "Section 2. y\nz z Z")])
+    assert [a["chunk_id"] == b["chunk_id"] for a, b in zip(found, changed)] == [True] * (len(found) - 1) + [False]
 
 
-def test_chunk_exact_window_has_no_tail():
-    found = chunking.chunk_document("b", [(1, " ".join("x" * 1 for _ in range(50)))], chunking.Policy(50, 5, 2))
+def test_chunk_exact_window_has_no_tail(spark):
+    found = chunks(spark, [(1, " ".join("x" for _ in range(50)))])
     assert [(c["token_start"], c["token_end"]) for c in found] == [(0, 50)]
-    assert chunking.chunk_document("b", [(1, ""), (2, None)]) == []
+    assert chunks(spark, [(1, ""), (2, None)]) == []
 
 
-def test_chunk_boundary_clears_structure():
-    found = chunking.chunk_document("b", [(1, "Chapter 1\na b"), (2, None), (3, "c d")])
+def test_chunk_boundary_clears_structure(spark):
+    found = chunks(spark, [(1, "Chapter 1\na b"), (2, None), (3, "c d")])
     assert [(c["chapter"], c["passage"]) for c in found] == [("Chapter 1", "Chapter 1 a b"), ("", "c d")]
 
 
+def test_chunks_of_characters_keep_page_breaks(spark):
+    found = chunks(spark, [(1, "abc"), (2, "de"), (4, "fghij")], chunking.Policy(6, 2, 2), "char")
+    assert [(c["page_start"], c["page_end"], c["token_start"], c["token_end"], c["passage"]) for c in found] == [(1, 2, 0, 6, "abc\nde"), (4, 4, 6, 12, "fghij")]
+
+
+def test_window_bounds():
+    every = chunking.Policy(10, 3, 99)
+    assert chunking.window_bounds([0], [1], [24], every) == [(0, 10), (7, 17), (14, 24)]
+    # A window no longer than the overlap is not overlapped, and two page numbers at most are reached.
+    assert chunking.window_bounds([5, 7, 9], [1, 2, 4], [7, 9, 15], chunking.Policy(10, 4, 2)) == [(5, 9), (9, 15)]
+    assert chunking.window_bounds([0, 6, 12], [1, 2, 3], [6, 12, 14], chunking.Policy(10, 2, 1)) == [(0, 6), (6, 12), (12, 14)]
+
+
 def test_pack_shards():
     assert chunking.pack_shards([5, 5, 5, 20, 1], 2, 12) == [0, 0, 1, 2, 3]
     assert chunking.pack_shards([], 2, 12) == []

@@ -3,6 +3,7 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirefold.operators import chunking
 from quirefold.sources import epub, sinks
@@ -44,6 +45,12 @@ def test_shards_and_upsert(spark, tmp_path):
     pages = spark.createDataFrame([("b", 1, " ".join(f"w{i}" for i in range(500))), ("c", 1, "few words")], "book_id string, page_no int, text string")
     manifest = sinks.write_shards(chunking.chunk_windows(pages), str(tmp_path), per_shard=4).orderBy("book_id", "shard").collect()
     assert [(r["book_id"], r["shard"], r["first_order"], r["last_order"], r["n_chunks"]) for r in manifest][:2] == [("b", 0, 0, 3, 4), ("b", 1, 4, 7, 4)]
+    assert {r["reason"] for r in sinks.read_shards(spark, str(tmp_path)).collect()} == {None}
+    small = sinks.write_shards(chunking.chunk_windows(pages), str(tmp_path / "s"), per_shard=4, max_bytes=600).collect()
+    assert all(r["n_chunks"] <= 4 and (r["n_bytes"] <= 600 or r["n_chunks"] == 1) for r in small) and len(small) > len(manifest)
+    spark.read.parquet(str(tmp_path / "s" / "manifest")).where("book_id = 'c'").withColumn("n_bytes", F.lit(1).cast("long")).write.parquet(str(tmp_path / "t" / "manifest"))
+    chunking.chunk_windows(pages).withColumn("shard", F.lit(0)).write.parquet(str(tmp_path / "t" / "shards"))
+    assert {(r["book_id"], r["reason"]) for r in sinks.read_shards(spark, str(tmp_path / "t")).collect()} == {("b", "unknown"), ("c", "bytes")}
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     once = sinks.upsert(old, new, ["k"])
