@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import documents, lifecycle, search  # noqa: F401  registers
+from .plans import contracts, documents, lifecycle, search  # noqa: F401  registers
 from .plans.registry import ORACLE, QUERIES
 from .streaming import twins  # noqa: F401  registers
 

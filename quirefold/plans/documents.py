@@ -108,11 +108,11 @@ def chunk_windows(t):
     return chunking.chunk_windows(V.pages(t))
 
 
-@query("""SELECT book_id, page_no, 'gap' AS violation FROM (SELECT book_id, page_no, lag(page_no) OVER (PARTITION BY book_id ORDER BY page_no) AS before FROM v_pages WHERE page_no % 11 <> 0) WHERE before IS NOT NULL AND page_no <> before + 1""")
+@query("""SELECT book_id, count(*) AS n_pages, count(*) FILTER (WHERE page_no > before + 1) AS n_gaps, count(*) FILTER (WHERE page_no <= before) AS n_repeats, count(*) FILTER (WHERE before IS NULL AND page_no <> 1) AS n_late FROM (SELECT book_id, page_no, lag(page_no) OVER (PARTITION BY book_id ORDER BY page_no) AS before FROM v_pages) GROUP BY 1""")
 def chunk_sequence_check(t):
-    """Places where the order does not go up by one."""
-    p = V.pages(t).where("page_no % 11 <> 0").withColumn("before", F.lag("page_no").over(Window.partitionBy("book_id").orderBy("page_no")))
-    return p.where("before IS NOT NULL AND page_no <> before + 1").select("book_id", "page_no", F.lit("gap").alias("violation"))
+    """Of each book's pages, how many do not follow the one before by one, and whether the first is missing."""
+    p = V.pages(t).withColumn("before", F.lag("page_no").over(Window.partitionBy("book_id").orderBy("page_no")))
+    return p.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("page_no") > F.col("before") + 1).alias("n_gaps"), F.count_if(F.col("page_no") <= F.col("before")).alias("n_repeats"), F.count_if(F.col("before").isNull() & (F.col("page_no") != 1)).alias("n_late"))
 
 
 @query(r"""SELECT evidence_id, CASE WHEN NOT regexp_full_match(evidence_id, '[A-Za-z0-9_:-]{1,256}') THEN 'identifier' WHEN page_start < 1 THEN 'page_start' WHEN page_end < page_start THEN 'page_range'

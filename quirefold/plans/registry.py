@@ -37,7 +37,7 @@ WHERE j.state = 'indexed' AND l.state IN ('active', 'reindexing')""",
   concat('author ', label % 3) AS author_norm, CAST(2000 + vec_id % 25 AS INTEGER) AS year, [concat('t', vec_id % 2), concat('u', vec_id % 3)] AS tags_norm,
   CAST(vec_id % 40 + 1 AS INTEGER) AS page_start, CAST(vec_id % 40 + 2 AS INTEGER) AS page_end, vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings""",
     "v_scored": """SELECT q.vec_id AS query_id, c.*, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), c.embedding), 6) AS score
-FROM v_chunk_vectors c, (SELECT * FROM embeddings WHERE vec_id < 10) q""",
+FROM v_chunk_vectors c, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q""",
     "v_facts": """SELECT concat('ev-', event_id) AS event_id, concat('book-', user_id) AS book_id, ts AS occurred_at,
   CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'started' WHEN 'click' THEN 'chunks_ready' WHEN 'purchase' THEN 'indexed' ELSE 'failed' END AS kind,
   CAST(1 + event_id % 3 AS BIGINT) AS lifecycle_version, sha256(props) AS payload_digest, event_id AS n FROM events""",
