@@ -252,7 +252,7 @@ def evidence_select(t):
         return pa.Table.from_pylist([{"query_id": r["query_id"], "evidence_id": e, "place": k} for k, (e, r) in enumerate(chosen.items())], schema=_PICKED)
 
     payload = V.chunk_vectors(t).select("evidence_id", "book_id", (F.lit(40) + F.col("vec_id") % 60).alias("n_bytes"))
-    rows = _fused(t).where("position < 40").join(payload, "evidence_id").select("query_id", "evidence_id", "position", "book_id", "n_bytes")
+    rows = _fused(t).join(payload, "evidence_id").select("query_id", "evidence_id", "position", "book_id", "n_bytes")
     return rows.groupBy("query_id").applyInArrow(run, "query_id long, evidence_id string, place int")
 
 

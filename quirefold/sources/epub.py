@@ -6,7 +6,9 @@ import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from dataclasses import dataclass
+from html.entities import name2codepoint
 from io import BytesIO
 from urllib.parse import unquote
 
@@ -14,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SILENT = {"script", "style", "svg", "math"}
-_BLOCK = set("address article aside blockquote br dd div dl dt figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+# The elements that stand on lines of their own.
+_BLOCK = set("address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead tr ul".split())
+_NAMED = re.compile(rb"&([A-Za-z][A-Za-z0-9]*);")
 _PAGES = pa.schema([("path", pa.string()), ("page_no", pa.int32()), ("text", pa.string()), ("reason", pa.string())])
 
 
@@ -35,11 +39,17 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1].lower() if isinstance(tag, str) else ""
 
 
+def _numbered(m: re.Match[bytes]) -> bytes:
+    """A named entity of HTML by its number; XML's own five and unknown ones stay."""
+    code = None if m[1] in (b"amp", b"lt", b"gt", b"quot", b"apos") else name2codepoint.get(m[1].decode())
+    return m[0] if code is None else b"&#%d;" % code
+
+
 def _parse(data: bytes) -> ET.Element:
     if re.search(rb"<!\s*(ENTITY)", data[:65536], re.I):
         raise Rejected("malformed_document")
     try:
-        return ET.fromstring(data)
+        return ET.fromstring(_NAMED.sub(_numbered, data))
     except ET.ParseError as e:
         raise Rejected("malformed_document") from e
 
@@ -69,7 +79,7 @@ def xhtml_text(data: bytes, limits: Limits = Limits()) -> str:
 def _open(data: bytes, limits: Limits) -> zipfile.ZipFile:
     try:
         book = zipfile.ZipFile(BytesIO(data))
-    except zipfile.BadZipFile as e:
+    except (zipfile.BadZipFile, NotImplementedError, EOFError) as e:
         raise Rejected("malformed_document") from e
     infos = book.infolist()
     names = [i.filename for i in infos]
@@ -88,8 +98,8 @@ def _open(data: bytes, limits: Limits) -> zipfile.ZipFile:
 
 def read_epub(data: bytes, limits: Limits = Limits()) -> list[tuple[int, str]]:
     """(page number, text) in reading order; places without text keep their number and are left out."""
-    book = _open(data, limits)
     try:
+        book = _open(data, limits)
         root = next(x.get("full-path") for x in _parse(book.read("META-INF/container.xml")).iter() if _local(x.tag) == "rootfile")
         package = _parse(book.read(root))
         items = {x.get("id"): (x.get("href"), x.get("media-type")) for x in package.iter() if _local(x.tag) == "item"}
@@ -103,7 +113,7 @@ def read_epub(data: bytes, limits: Limits = Limits()) -> list[tuple[int, str]]:
                 path = posixpath.normpath(posixpath.join(posixpath.dirname(root), unquote(href.split("#")[0])))
                 if text := xhtml_text(book.read(path), limits):
                     out.append((number, text))
-    except (KeyError, StopIteration, AttributeError, TypeError) as e:
+    except (KeyError, StopIteration, AttributeError, TypeError, EOFError, NotImplementedError, RuntimeError, zipfile.BadZipFile, zlib.error) as e:
         raise Rejected("malformed_document") from e
     if not out:
         raise Rejected("no_extractable_text")

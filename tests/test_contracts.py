@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions import websearch
-from quirefold.plans import contracts
+from quirefold.plans import contracts, lifecycle
 
 
 @pytest.mark.parametrize("text, groups", [
@@ -33,3 +33,33 @@ def test_keyed_fingerprint_is_hmac(spark, sf):
     want = {f"{r['conv_id']}-{r['turn']}": hmac.new(b"fixture-key", f"question\0{r['text']}".encode(), hashlib.sha256).hexdigest() for r in rows}
     got = contracts.keyed_fingerprint(lambda n: spark.read.parquet(f"{sf}/{n}.parquet")).collect()
     assert {r["query_id"]: r["mac"] for r in got} == want
+
+
+def test_anchored_rate_limit_equals_a_loop(spark, sf):
+    table = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    times: dict[str, list] = {}
+    for r in table("events").select("user_id", "ts").collect():
+        times.setdefault(f"book-{r['user_id']}", []).append(r["ts"])
+    want = {}
+    for book, ts in times.items():
+        opened, n, windows, rejected = None, 0, 0, 0
+        for x in sorted(ts):
+            if opened is None or (x - opened).total_seconds() >= 3600:
+                opened, n, windows = x, 0, windows + 1
+            n += 1
+            rejected += n > 2
+        want[book] = (len(ts), windows, rejected)
+    assert {r["book_id"]: (r["n_events"], r["windows"], r["rejected"]) for r in lifecycle.rate_limit_anchored(table).collect()} == want
+
+
+def test_selected_evidence_fits_and_is_known(spark, sf):
+    from quirefold.catalogue import QUERIES
+
+    picked = QUERIES["evidence_select"](spark, sf).collect()
+    fused = {(r["query_id"], r["evidence_id"]) for r in QUERIES["rrf_fusion"](spark, sf).collect()}
+    by_query: dict[int, list] = {}
+    for r in picked:
+        by_query.setdefault(r["query_id"], []).append(r)
+    for rows in by_query.values():
+        assert sorted(r["place"] for r in rows) == list(range(len(rows))) and len({r["evidence_id"] for r in rows}) == len(rows) <= 8
+    assert {(r["query_id"], r["evidence_id"]) for r in picked} <= fused

@@ -35,6 +35,20 @@ def test_epub_pages(spark, tmp_path):
     }
 
 
+def test_xhtml_entities_and_blocks():
+    assert epub.xhtml_text("<html><body><figure>x<figcaption>cap</figcaption>y</figure>a&nbsp;b &eacute; &amp;</body></html>".encode()) == "x\ncap\ny\na b é &"
+
+
+def test_damaged_entry_is_one_rejected_file(spark, tmp_path):
+    book(tmp_path / "good.epub")
+    data = bytearray((tmp_path / "good.epub").read_bytes())
+    at = data.index(b"one</p>")
+    data[at : at + 3] = b"two"
+    (tmp_path / "bad.epub").write_bytes(bytes(data))
+    got = {r["path"].rsplit("/", 1)[-1]: r["reason"] for r in epub.epub_pages(spark, str(tmp_path)).collect()}
+    assert got == {"good.epub": None, "bad.epub": "malformed_document"}
+
+
 def test_xhtml_rejects():
     for bad in (b"<p>", b'<!DOCTYPE x [<!ENTITY a "b">]><p>&a;</p>', b"<d>" * 200 + b"</d>" * 200):
         with pytest.raises(epub.Rejected):
