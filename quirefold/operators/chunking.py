@@ -73,9 +73,9 @@ def window_bounds(starts: list[int], numbers: list[int], ends: list[int], policy
     return out
 
 
-_PIECES = pa.list_(pa.struct([("page_no", pa.int32()), ("skip", pa.int32()), ("take", pa.int32())]))
+_PIECES = pa.list_(pa.struct([("page_no", pa.int32()), ("skip", pa.int32()), ("take", pa.int32()), ("lead", pa.bool_())]))
 _WINDOW = pa.schema([("book_id", pa.string()), ("chapter", pa.string()), ("section", pa.string()), ("token_start", pa.int64()), ("token_end", pa.int64()), ("pieces", _PIECES)])
-WINDOW = "book_id string, chapter string, section string, token_start long, token_end long, pieces array<struct<page_no:int,skip:int,take:int>>"
+WINDOW = "book_id string, chapter string, section string, token_start long, token_end long, pieces array<struct<page_no:int,skip:int,take:int,lead:boolean>>"
 
 
 def _windows(policy: Policy):
@@ -86,45 +86,50 @@ def _windows(policy: Policy):
                 starts, numbers, ends = ([p[k] for p in r["places"]] for k in ("start", "page_no", "end"))
                 for a, b in window_bounds(starts, numbers, ends, policy):
                     first, last = bisect_right(ends, a), bisect_left(ends, b)
-                    pieces = [{"page_no": numbers[k], "skip": max(a - starts[k], 0), "take": min(b, ends[k]) - max(a, starts[k])} for k in range(first, last + 1)]
+                    pieces = [{"page_no": numbers[k], "skip": max(a - starts[k], 0), "take": min(b, ends[k]) - max(a, starts[k]), "lead": r["places"][k]["lead"]} for k in range(first, last + 1)]
                     rows.append({"book_id": r["book_id"], "chapter": r["chapter"], "section": r["section"], "token_start": a, "token_end": b, "pieces": pieces})
             yield from pa.Table.from_pylist(rows, schema=_WINDOW).to_batches()
 
     return run
 
 
+def _normal(pages: DataFrame) -> DataFrame:
+    return pages.select("book_id", F.col("page_no").cast("int").alias("page_no"), T.normalize(T.nfc()(F.col("text"))).alias("text"))
+
+
 def placed_pages(pages: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """Pages that hold words: book_id, page_no, tokens, segment, chapter, section, start, end."""
+    """Pages that hold words, without these: book_id, page_no, segment, chapter, section, start, end, lead (it begins with the tokens between pages)."""
     text = F.col("text")
-    own = pages.select("book_id", F.col("page_no").cast("int").alias("page_no"), T.normalize(T.nfc()(text)).alias("text"))
-    own = own.where("text IS NULL OR text <> ''").select("*", text.isNull().alias("excluded"), tokenizer.split(text).alias("tokens"), T.heading(text).alias("h"))
+    # Numbers and headings only go through the windows.
+    own = _normal(pages).where("text IS NULL OR text <> ''").select("book_id", "page_no", text.isNull().alias("excluded"), F.coalesce(F.size(tokenizer.split(text)), F.lit(0)).alias("n"), T.heading(text).alias("h"))
     chapter, section, excluded = F.col("h.chapter"), F.col("h.section"), F.col("excluded")
     in_order = Window.partitionBy("book_id").orderBy("page_no")
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(in_order)
     opens = excluded | chapter.isNotNull() | section.isNotNull()
-    own = own.withColumns({"segment": count(opens), "island": count(excluded | chapter.isNotNull()), "first": opens | F.coalesce(F.lag("excluded").over(in_order), F.lit(True))})
+    own = own.withColumns({"segment": count(opens), "island": count(excluded | chapter.isNotNull()), "lead": ~(opens | F.coalesce(F.lag("excluded").over(in_order), F.lit(True)))})
     island = Window.partitionBy("book_id", "island")
     none = F.lit("")
     own = own.withColumns({"chapter": F.coalesce(F.max(chapter).over(island), none), "section": F.coalesce(F.last(section, ignorenulls=True).over(island.orderBy("page_no")), none)})
-    if tokenizer.between:
-        own = own.withColumn("tokens", F.when(F.col("first"), F.col("tokens")).otherwise(F.concat(F.array(*map(F.lit, tokenizer.between)), F.col("tokens"))))
-    size = F.coalesce(F.size("tokens"), F.lit(0))
+    size = F.col("n") + F.when(F.col("lead"), len(tokenizer.between)).otherwise(0)
     own = own.withColumn("n", F.when(excluded, 0).otherwise(size)).withColumn("end", F.sum("n").over(in_order))
-    return own.where(~excluded & (F.col("n") > 0)).select("book_id", "page_no", "tokens", "segment", "chapter", "section", (F.col("end") - F.col("n")).alias("start"), "end")
+    return own.where(~excluded & (F.col("n") > 0)).select("book_id", "page_no", "segment", "chapter", "section", (F.col("end") - F.col("n")).alias("start"), "end", "lead")
 
 
 def chunk_windows(pages: DataFrame, policy: Policy = Policy(), tokenizer: str = "word") -> DataFrame:
     """Chunks of all books of ``pages(book_id, page_no, text)``."""
     how = TOKENIZERS[tokenizer]
     placed = placed_pages(pages, how)
-    segments = placed.groupBy("book_id", "segment", "chapter", "section").agg(F.sort_array(F.collect_list(F.struct("start", "page_no", "end"))).alias("places"))
+    segments = placed.groupBy("book_id", "segment", "chapter", "section").agg(F.sort_array(F.collect_list(F.struct("start", "page_no", "end", "lead"))).alias("places"))
     windows = segments.select("book_id", "chapter", "section", "places").mapInArrow(_windows(policy), WINDOW)
     windows = windows.withColumn("chunk_order", (F.row_number().over(Window.partitionBy("book_id").orderBy("token_start")) - 1).cast("int"))
     numbers = F.transform("pieces", lambda p: p["page_no"])
     pieces = windows.select("book_id", "chunk_order", "chapter", "section", "token_start", "token_end", F.element_at(numbers, 1).alias("page_start"), F.element_at(numbers, -1).alias("page_end"), F.explode("pieces").alias("piece"))
     pieces = pieces.select("*", F.col("piece.page_no").alias("page_no"))
-    met = pieces.join(placed.select("book_id", "page_no", "tokens"), ["book_id", "page_no"])
-    part = F.struct("page_no", F.slice("tokens", F.col("piece.skip") + 1, F.col("piece.take")).alias("tokens"))
+    met = pieces.join(_normal(pages).where("text <> ''").select("book_id", "page_no", how.split(F.col("text")).alias("tokens")), ["book_id", "page_no"])
+    tokens = F.col("tokens")
+    if how.between:
+        tokens = F.when(F.col("piece.lead"), F.concat(F.array(*map(F.lit, how.between)), tokens)).otherwise(tokens)
+    part = F.struct("page_no", F.slice(tokens, F.col("piece.skip") + 1, F.col("piece.take")).alias("tokens"))
     whole = met.groupBy("book_id", "chunk_order", "chapter", "section", "token_start", "token_end", "page_start", "page_end").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     passage = F.btrim(F.array_join(F.flatten(F.transform("parts", lambda p: p["tokens"])), how.glue), F.lit(" \t\n"))
     chunks = whole.withColumn("passage", passage)
