@@ -94,14 +94,15 @@ def _windows(policy: Policy):
 
 
 def _normal(pages: DataFrame) -> DataFrame:
-    return pages.select("book_id", F.col("page_no").cast("int").alias("page_no"), T.normalize(T.nfc()(F.col("text"))).alias("text"))
+    # The Arrow function comes last, so its result is a column and the patterns before it run once, however often the text is used.
+    return pages.select("book_id", F.col("page_no").cast("int").alias("page_no"), T.nfc()(T.normalize(F.col("text"))).alias("text"))
 
 
 def placed_pages(pages: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """Pages that hold words, without these: book_id, page_no, segment, chapter, section, start, end, lead (it begins with the tokens between pages)."""
     text = F.col("text")
     # Numbers and headings only go through the windows.
-    own = _normal(pages).where("text IS NULL OR text <> ''").select("book_id", "page_no", text.isNull().alias("excluded"), F.coalesce(F.size(tokenizer.split(text)), F.lit(0)).alias("n"), T.heading(text).alias("h"))
+    own = _normal(pages).where("text IS NULL OR text <> ''").select("book_id", "page_no", text.isNull().alias("excluded"), F.coalesce(F.size(tokenizer.split(text)), F.lit(0)).alias("n"), T.heading(F.substring_index(text, "\n", 1)).alias("h"))
     chapter, section, excluded = F.col("h.chapter"), F.col("h.section"), F.col("excluded")
     in_order = Window.partitionBy("book_id").orderBy("page_no")
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(in_order)
