@@ -161,9 +161,9 @@ def html_text(t):
 
 # -- selection ----------------------------------------------------------------
 
-_CAND = r"""cand AS (SELECT book_id, page_no AS ordinal, CASE WHEN page_no <= 3 THEN 'copyright' ELSE 'index' END AS reason, s AS signal, page_no % 5 = 1 AS keep
- FROM (SELECT *, unnest(list_filter(['layout', CASE WHEN page_no <= 3 THEN 'position' END, CASE WHEN length(text) < 900 THEN 'content_shape' END], lambda x: x IS NOT NULL)) AS s FROM v_pages WHERE page_no % 3 <> 0)
- UNION ALL SELECT book_id, page_no, 'title', 'hierarchy', false FROM v_pages WHERE page_no % 8 = 2),
+_CAND = r"""cand AS (SELECT book_id, page_no AS ordinal, CASE WHEN page_no <= 3 THEN 'copyright' ELSE 'index' END AS reason, s AS signal, text LIKE 'Chapter %' AS keep
+ FROM (SELECT *, unnest(list_filter(['layout', CASE WHEN page_no <= 3 THEN 'position' END, CASE WHEN length(text) < 900 THEN 'content_shape' END], lambda x: x IS NOT NULL)) AS s FROM v_pages)
+ UNION ALL SELECT book_id, page_no, 'title', 'hierarchy', false FROM v_pages WHERE text LIKE 'Section %'),
 votes AS (SELECT book_id, ordinal, count(DISTINCT reason) AS n_reasons, count(DISTINCT signal) AS n_signals, bool_or(keep) AS keep, min(reason) AS reason FROM cand GROUP BY ALL),
 voted AS (SELECT *, NOT keep AND n_reasons = 1 AND n_signals >= 2 AS excluded FROM votes),
 rng AS (SELECT book_id, reason, min(ordinal) AS "start", max(ordinal) AS "end" FROM (SELECT *, ordinal - row_number() OVER (PARTITION BY book_id, reason ORDER BY ordinal) AS island FROM voted WHERE excluded) GROUP BY book_id, reason, island),
@@ -175,8 +175,8 @@ opened AS (SELECT *, CASE WHEN n_ranges > 8 THEN 'range_limit' WHEN n_excluded >
 def _candidates(t):
     p = V.pages(t)
     signals = F.array_compact(F.array(F.lit("layout"), F.when(F.col("page_no") <= 3, "position"), F.when(F.length("text") < 900, "content_shape")))
-    a = p.where("page_no % 3 <> 0").select("book_id", F.col("page_no").alias("ordinal"), F.when(F.col("page_no") <= 3, "copyright").otherwise("index").alias("reason"), F.explode(signals).alias("signal"), (F.col("page_no") % 5 == 1).alias("keep"))
-    b = p.where("page_no % 8 = 2").select("book_id", F.col("page_no").alias("ordinal"), F.lit("title").alias("reason"), F.lit("hierarchy").alias("signal"), F.lit(False).alias("keep"))
+    a = p.select("book_id", F.col("page_no").alias("ordinal"), F.when(F.col("page_no") <= 3, "copyright").otherwise("index").alias("reason"), F.explode(signals).alias("signal"), F.col("text").startswith("Chapter ").alias("keep"))
+    b = p.where(F.col("text").startswith("Section ")).select("book_id", F.col("page_no").alias("ordinal"), F.lit("title").alias("reason"), F.lit("hierarchy").alias("signal"), F.lit(False).alias("keep"))
     return a.unionByName(b)
 
 
@@ -283,13 +283,15 @@ def answer_cache_decision(t):
     return a.join(b, (F.col("a.conv") == F.col("b.conv")) & (F.col("a.query_id") > F.col("b.query_id"))).select(F.col("a.query_id").alias("current_id"), F.col("b.query_id").alias("cached_id"), outcome.alias("outcome"))
 
 
-@query("""WITH e AS (SELECT sha256(question) AS h, min(query_id) AS entry_id FROM v_questions WHERE CAST(string_split(query_id, '-')[2] AS BIGINT) % 4 = 0 GROUP BY 1)
-SELECT q.query_id, e.entry_id, CASE WHEN e.entry_id IS NULL THEN 'miss' ELSE 'hit' END AS outcome FROM v_questions q LEFT JOIN e ON e.h = sha256(q.question)""")
+@query("""SELECT query_id, CASE WHEN query_id <> entry_id THEN entry_id END AS entry_id, CASE WHEN query_id <> entry_id THEN 'hit' ELSE 'miss' END AS outcome FROM (SELECT query_id,
+first_value(query_id) OVER (PARTITION BY sha256(question) ORDER BY CAST(string_split(query_id, '-')[1] AS BIGINT), CAST(string_split(query_id, '-')[2] AS BIGINT)) AS entry_id FROM v_questions)""")
 def assessment_cache_lookup(t):
-    """Exact hits on the digest of the question."""
-    q = V.questions(t).withColumn("h", F.sha2(F.col("question").cast("binary"), 256))
-    e = q.where(F.substring_index("query_id", "-", -1).cast("long") % 4 == 0).groupBy("h").agg(F.min("query_id").alias("entry_id"))
-    return q.join(e, "h", "left").select("query_id", "entry_id", F.when(F.col("entry_id").isNull(), "miss").otherwise("hit").alias("outcome"))
+    """Exact hits on the digest of the question: the first to ask it misses and leaves the entry, all later ones find that."""
+    place = lambda k: F.get(F.split("query_id", "-"), F.lit(k)).cast("long")
+    q = V.questions(t).select("query_id", F.sha2(F.col("question").cast("binary"), 256).alias("h"))
+    q = q.join(q.groupBy("h").agg(F.min_by("query_id", F.struct(place(0), place(1))).alias("first")), "h")
+    later = F.col("query_id") != F.col("first")
+    return q.select("query_id", F.when(later, F.col("first")).alias("entry_id"), F.when(later, "hit").otherwise("miss").alias("outcome"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts DESC, event_id DESC) > 20")

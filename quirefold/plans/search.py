@@ -148,21 +148,39 @@ def visibility_semi_join(t):
     return V.evidence(t).join(R.active_jobs(V.index_jobs(t), V.book_lifecycle(t)), ["book_id", "job_id"], "left_semi").select("evidence_id", "job_id")
 
 
-_FUSED = _DOCS + """, vis AS (SELECT * FROM v_scored WHERE label <> 7),
+_FUSED = _DOCS + r""", vis AS (SELECT * FROM v_scored WHERE label <> 7),
 ch AS (SELECT query_id, evidence_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) - 1 AS rank FROM vis) WHERE rank < 10),
-lx AS (SELECT query_id, evidence_id, rank, lscore AS score FROM (SELECT *, round(1.0 / page_start, 6) AS lscore, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / page_start, 6) DESC, evidence_id) - 1 AS rank FROM vis WHERE list_contains(tags_norm, 't0')) WHERE rank < 10),
+bag AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g'), '\s+'), lambda w: w <> '')) AS w FROM documents),
+asked AS (SELECT doc_id AS query_id, len(w) AS wanted, unnest(w) AS term FROM bag WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)),
+held AS (SELECT c.evidence_id, unnest(b.w) AS term FROM bag b JOIN v_chunk_vectors c ON c.vec_id = b.doc_id WHERE c.label <> 7),
+shared AS (SELECT query_id, evidence_id, round(count(*) / wanted, 6) AS score FROM asked JOIN held USING (term) GROUP BY query_id, evidence_id, wanted),
+lx AS (SELECT query_id, evidence_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) - 1 AS rank FROM shared) WHERE rank < 10),
 cand AS (SELECT * FROM ch UNION ALL SELECT query_id, evidence_id, 10 + doc_rank + evidence_rank, score FROM hyd WHERE label <> 7 UNION ALL SELECT * FROM lx),
 fused AS (SELECT query_id, evidence_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS fused, max(score) AS score, count(*) AS n_lists FROM cand GROUP BY ALL),
 pos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, score DESC, evidence_id) - 1 AS position FROM fused)"""
 
 
+def _shared_terms(t) -> DataFrame:
+    """(query_id, evidence_id, score): the share of the distinct words of the query's text that a visible chunk's text has.
+
+    A chunk's text is the document of its number.  Words meet in an equi-join and
+    pairs are counted before the shuffle; texts themselves do not travel.
+    """
+    bag = t("documents").select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("w"))
+    asked = bag.join(V.query_vectors(t).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    asked = asked.select(F.col("doc_id").alias("query_id"), F.size("w").alias("wanted"), F.explode("w").alias("term"))
+    chunks = V.chunk_vectors(t).where("label <> 7").select("evidence_id", F.col("vec_id").alias("doc_id"))
+    held = bag.join(chunks, "doc_id").select("evidence_id", F.explode("w").alias("term"))
+    found = held.join(asked, "term").groupBy("query_id", "evidence_id", "wanted").agg(F.count(F.lit(1)).alias("matched"))
+    return found.select("query_id", "evidence_id", F.round(F.col("matched") / F.col("wanted"), 6).alias("score"))
+
+
 def _fused(t) -> DataFrame:
     visible = _scored(t).where("label <> 7")
     budget = LIMIT * MULTIPLIER
     chunk = R.top(visible, ["query_id"], R.best_first("score", "evidence_id"), budget).select("query_id", "evidence_id", "rank", "score")
     document = _hydrated(t).where("label <> 7").select("query_id", "evidence_id", (F.lit(budget) + F.col("doc_rank") + F.col("evidence_rank")).alias("rank"), "score")
-    lexical = visible.where(F.array_contains("tags_norm", "t0")).withColumn("score", F.round(F.lit(1.0) / F.col("page_start"), 6))
-    lexical = R.top(lexical, ["query_id"], R.best_first("score", "evidence_id"), budget).select("query_id", "evidence_id", "rank", "score")
+    lexical = R.top(_shared_terms(t), ["query_id"], R.best_first("score", "evidence_id"), budget).select("query_id", "evidence_id", "rank", "score")
     return R.fuse(chunk.unionByName(document).unionByName(lexical), RRF_K)
 
 
@@ -172,13 +190,14 @@ def rrf_fusion(t):
 
 
 _ACCEPTED = _FUSED + """, acc AS (SELECT p.query_id, p.evidence_id, p.score, c.book_id, c.job_id, c.page_start, c.page_end, row_number() OVER (PARTITION BY p.query_id ORDER BY p.position) - 1 AS position
-FROM pos p JOIN v_chunk_vectors c ON c.evidence_id = p.evidence_id WHERE c.vec_id % 7 <> 3 QUALIFY row_number() OVER (PARTITION BY p.query_id ORDER BY p.position) <= 5)"""
+FROM pos p JOIN v_chunk_vectors c ON c.evidence_id = p.evidence_id WHERE c.vec_id NOT IN (SELECT doc_id FROM labels WHERE quality <> 1) QUALIFY row_number() OVER (PARTITION BY p.query_id ORDER BY p.position) <= 5)"""
 
 
 def _accepted(t) -> DataFrame:
-    """The first few candidates, in fused order, that the assessor finds relevant."""
+    """The first few candidates, in fused order, that the assessor finds relevant: all but those labelled bad."""
     payload = V.chunk_vectors(t).select("evidence_id", "vec_id", "book_id", "job_id", "page_start", "page_end")
-    relevant = _fused(t).join(payload, "evidence_id").where("vec_id % 7 <> 3").withColumnRenamed("position", "fused_position")
+    bad = t("labels").where("quality <> 1").select(F.col("doc_id").alias("vec_id"))
+    relevant = _fused(t).join(payload, "evidence_id").join(bad, "vec_id", "left_anti").withColumnRenamed("position", "fused_position")
     return R.top(relevant, ["query_id"], [F.asc("fused_position")], LIMIT, name="position").select("query_id", "evidence_id", "score", "book_id", "job_id", "page_start", "page_end", "position")
 
 
