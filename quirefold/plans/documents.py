@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import chunking, selection
+from ..operators import caching, chunking, selection
 from ..sources import tables as V
 from .registry import query
 from .search import _accepted, _fused, _ACCEPTED
@@ -283,15 +283,25 @@ def answer_cache_decision(t):
     return a.join(b, (F.col("a.conv") == F.col("b.conv")) & (F.col("a.query_id") > F.col("b.query_id"))).select(F.col("a.query_id").alias("current_id"), F.col("b.query_id").alias("cached_id"), outcome.alias("outcome"))
 
 
-@query("""SELECT query_id, CASE WHEN query_id <> entry_id THEN entry_id END AS entry_id, CASE WHEN query_id <> entry_id THEN 'hit' ELSE 'miss' END AS outcome FROM (SELECT query_id,
-first_value(query_id) OVER (PARTITION BY sha256(question) ORDER BY CAST(string_split(query_id, '-')[1] AS BIGINT), CAST(string_split(query_id, '-')[2] AS BIGINT)) AS entry_id FROM v_questions)""")
+@query("""WITH bad AS (SELECT DISTINCT doc_id FROM labels WHERE quality <> 1),
+r AS (SELECT d.doc_id AS request_id, d.doc_id // 3 AS asked_at, d.lang, d.source, sha256(d.text) AS p, CAST(v.embedding AS DOUBLE[]) AS emb, b.doc_id IS NULL AS relevant FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id LEFT JOIN bad b ON b.doc_id = d.doc_id),
+e AS (SELECT *, request_id AS entry_id FROM r QUALIFY row_number() OVER (PARTITION BY lang, source, p ORDER BY asked_at, request_id) = 1),
+x AS (SELECT r.request_id, e.entry_id FROM r JOIN e ON e.lang = r.lang AND e.source = r.source AND e.p = r.p WHERE e.asked_at < r.asked_at AND e.asked_at + 200 > r.asked_at),
+n AS (SELECT r.request_id, arg_max(e.entry_id, e.entry_id) FILTER (WHERE list_cosine_similarity(r.emb, e.emb) >= 0.985) AS entry_id FROM r JOIN e ON e.lang = r.lang AND e.p = r.p
+  WHERE NOT e.relevant AND e.emb IS NOT NULL AND e.asked_at < r.asked_at AND e.asked_at + 200 > r.asked_at GROUP BY 1)
+SELECT r.request_id, CAST(coalesce(x.entry_id, n.entry_id) AS VARCHAR) AS entry_id, CASE WHEN x.entry_id IS NOT NULL THEN 'hit' WHEN n.entry_id IS NOT NULL THEN 'negative_hit' WHEN n.request_id IS NOT NULL THEN 'semantic_mismatch' ELSE 'miss' END AS outcome
+FROM r LEFT JOIN x USING (request_id) LEFT JOIN n USING (request_id)""")
 def assessment_cache_lookup(t):
-    """Exact hits on the digest of the question: the first to ask it misses and leaves the entry, all later ones find that."""
-    place = lambda k: F.get(F.split("query_id", "-"), F.lit(k)).cast("long")
-    q = V.questions(t).select("query_id", F.sha2(F.col("question").cast("binary"), 256).alias("h"))
-    q = q.join(q.groupBy("h").agg(F.min_by("query_id", F.struct(place(0), place(1))).alias("first")), "h")
-    later = F.col("query_id") != F.col("first")
-    return q.select("query_id", F.when(later, F.col("first")).alias("entry_id"), F.when(later, "hit").otherwise("miss").alias("outcome"))
+    """Assessments of documents as passages, each asked for by its source: whether an earlier one of the last 200 minutes serves."""
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    bad = t("labels").where("quality <> 1").select("doc_id", F.lit(False).alias("fine")).distinct()
+    rows = t("documents").join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").join(bad, "doc_id", "left")
+    rows = rows.select(
+        F.col("doc_id").alias("request_id"), F.floor(F.col("doc_id") / 3).alias("asked_at"), "embedding", F.coalesce("fine", F.lit(True)).alias("relevant"),
+        F.col("lang").alias("profile"), digest("source").alias("question_hash"), digest("text").alias("passage_hash"), digest("lang").alias("topic_hash"), F.sha2(F.lit(b""), 256).alias("guard_hash"),
+    )
+    found = caching.lookup(rows, caching.entries(rows.withColumn("entry_id", F.col("request_id")), 200))
+    return found.withColumn("entry_id", F.col("entry_id").cast("string"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts DESC, event_id DESC) > 20")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions import vectors as X
-from quirefold.operators import chunking, ranking, selection
+from quirefold.operators import caching, chunking, ranking, selection
 
 
 def one(spark, value, f, kind="string"):
@@ -108,3 +108,26 @@ def test_selection(spark):
     assert [(r["start"], r["end"], r["reason"]) for r in found.collect()] == [(1, 2, "title")]
     totals = spark.createDataFrame([("b", 4), ("x", 9)], "book_id string, total int")
     assert {r["book_id"]: r["fallback"] for r in selection.fail_open(found, totals, 8, 0.25).collect()} == {"b": "excluded_ratio", "x": "none"}
+
+
+def test_cache_lookup(spark):
+    keys = "profile string, question_hash string, passage_hash string, topic_hash string, guard_hash string"
+    axis, near, far = [1.0, 0.0], [1.0, 0.05], [0.0, 1.0]
+    stored = [(1, 0, False, axis, "m", "q1", "p", "t", "g"), (2, 0, False, axis, "m", "q1", "p", "t", "g"), (3, 5, False, near, "m", "q2", "p", "t", "g"), (4, 5, True, axis, "m", "q3", "x", "t", "g"), (5, 9, False, None, "m", "q4", "y", "t", "g")]
+    asked = [
+        (10, 6, axis, "m", "q1", "p", "t", "g", (1, "hit")),
+        (11, 6, axis, "m", "q9", "p", "t", "g", (3, "negative_hit")),  # the newer of two that fit
+        (12, 6, far, "m", "q9", "p", "t", "g", (None, "semantic_mismatch")),
+        (13, 6, axis, "m", "q9", "p", "t", "other", (None, "miss")),
+        (14, 12, axis, "m", "q1", "p", "t", "g", (3, "negative_hit")),  # its own entry has expired
+        (15, 6, axis, "m", "q9", "x", "t", "g", (None, "miss")),  # only what was not relevant is reused so
+        (16, 10, axis, "m", "q9", "y", "t", "g", (None, "miss")),
+        (17, 0, axis, "m", "q1", "p", "t", "g", (None, "miss")),  # stored at the same time, not before
+        (18, 6, axis, "m", None, None, "t", "g", (None, "miss")),
+        (19, 6, None, "m", "q9", "p", "t", "g", (None, "semantic_mismatch")),
+    ]
+    kept = caching.entries(spark.createDataFrame(stored, f"entry_id int, asked_at int, relevant boolean, embedding array<double>, {keys}").repartition(3), 10)
+    assert {r["entry_id"] for r in kept.collect()} == {1, 3, 4, 5}
+    got = caching.lookup(spark.createDataFrame([a[:-1] for a in asked], f"request_id int, asked_at int, embedding array<double>, {keys}").repartition(3), kept)
+    assert {r["request_id"]: (r["entry_id"], r["outcome"]) for r in got.collect()} == {a[0]: a[-1] for a in asked}
+    assert caching.lookup(got.sparkSession.createDataFrame([], f"request_id int, asked_at int, embedding array<double>, {keys}"), kept).count() == 0
