@@ -152,8 +152,9 @@ _FUSED = _DOCS + r""", vis AS (SELECT * FROM v_scored WHERE label <> 7),
 ch AS (SELECT query_id, evidence_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) - 1 AS rank FROM vis) WHERE rank < 10),
 bag AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g'), '\s+'), lambda w: w <> '')) AS w FROM documents),
 asked AS (SELECT doc_id AS query_id, len(w) AS wanted, unnest(w) AS term FROM bag WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)),
-held AS (SELECT c.evidence_id, unnest(b.w) AS term FROM bag b JOIN v_chunk_vectors c ON c.vec_id = b.doc_id WHERE c.label <> 7),
-shared AS (SELECT query_id, evidence_id, round(count(*) / wanted, 6) AS score FROM asked JOIN held USING (term) GROUP BY query_id, evidence_id, wanted),
+held AS (SELECT doc_id, unnest(w) AS term FROM bag WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label <> 7)),
+pairs AS (SELECT query_id, doc_id, round(count(*) / wanted, 6) AS score FROM asked JOIN held USING (term) GROUP BY query_id, doc_id, wanted),
+shared AS (SELECT p.query_id, c.evidence_id, p.score FROM pairs p JOIN v_chunk_vectors c ON c.vec_id = p.doc_id),
 lx AS (SELECT query_id, evidence_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) - 1 AS rank FROM shared) WHERE rank < 10),
 cand AS (SELECT * FROM ch UNION ALL SELECT query_id, evidence_id, 10 + doc_rank + evidence_rank, score FROM hyd WHERE label <> 7 UNION ALL SELECT * FROM lx),
 fused AS (SELECT query_id, evidence_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS fused, max(score) AS score, count(*) AS n_lists FROM cand GROUP BY ALL),
