@@ -164,14 +164,15 @@ pos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC,
 def _shared_terms(t) -> DataFrame:
     """(query_id, evidence_id, score): the share of the distinct words of the query's text that a visible chunk's text has.
 
-    A chunk's text is the document of its number.  Words meet in an equi-join and
-    pairs are counted before the shuffle; texts themselves do not travel.
+    A chunk's text is the document of its number.  Only documents that are
+    chunks are read into words; words meet in an equi-join, pairs are counted
+    before the shuffle.
     """
-    bag = t("documents").select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("w"))
-    asked = bag.join(V.query_vectors(t).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
-    asked = asked.select(F.col("doc_id").alias("query_id"), F.size("w").alias("wanted"), F.explode("w").alias("term"))
-    chunks = V.chunk_vectors(t).where("label <> 7").select("evidence_id", F.col("vec_id").alias("doc_id"))
-    held = bag.join(chunks, "doc_id").select("evidence_id", F.explode("w").alias("term"))
+    texts, bag = t("documents").select("doc_id", "text"), F.array_distinct(T.words(F.col("text"))).alias("w")
+    asked = texts.join(V.query_vectors(t).select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", bag)
+    asked = asked.select("query_id", F.size("w").alias("wanted"), F.explode("w").alias("term"))
+    chunks = V.chunk_vectors(t).where("label <> 7").select("evidence_id", "vec_id")
+    held = texts.join(chunks, F.col("doc_id") == F.col("vec_id")).select("evidence_id", F.explode(bag).alias("term"))
     found = held.join(asked, "term").groupBy("query_id", "evidence_id", "wanted").agg(F.count(F.lit(1)).alias("matched"))
     return found.select("query_id", "evidence_id", F.round(F.col("matched") / F.col("wanted"), 6).alias("score"))
 
