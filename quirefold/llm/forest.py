@@ -13,8 +13,9 @@ of queries, so neither side is collected or broadcast.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part on either side; vectors of another length are no
-candidates; equal vectors tie and the smaller id goes first; rows with the
-same id are separate rows; a query with fewer candidates than ``k`` returns
+candidates; components of any finite size are compared, as each vector is
+brought into range by a power of two; equal vectors tie and the smaller id
+goes first; rows with the same id are separate rows; a query with fewer candidates than ``k`` returns
 all of them; other columns are ignored.
 """
 
@@ -92,11 +93,20 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
 
+def in_range(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component into [0.5, 1).
+
+    The cosine stays the same and no square of a large component overflows.
+    """
+    _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0))
+    return np.ldexp(x, -exponent[:, None])
+
+
 def _search(vectors: pa.Table, queries: pa.Table, k: int, trees: int, share: float) -> pa.Table:
     if not vectors.num_rows or not queries.num_rows:
         return _FOUND.empty_table()
     unpack = lambda t: np.array(t["vector"].to_pylist(), dtype=np.float64)
-    x, q = unpack(vectors), unpack(queries)
+    x, q = in_range(unpack(vectors)), in_range(unpack(queries))
     ids, rows = vectors["vec_id"].to_numpy(), vectors["vec_row"].to_numpy()
     q_ids, q_rows = queries["vec_id"].to_numpy(), queries["vec_row"].to_numpy()
     forest = Forest(x, trees)

@@ -415,6 +415,14 @@ def test_nearest(spark):
     assert forest.nearest(d.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_of_very_large_and_very_small_components(spark):
+    v = np.random.default_rng(4).normal(size=(60, 6))
+    power = np.array([2.0**700, 1.0, 2.0**-700])[np.arange(60) % 3]
+    rows = lambda x: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    plain, scaled = (sorted(tuple(r) for r in forest.nearest(rows(x), F.col("vec_id") % 50 == 0, share=1.0).collect()) for x in (v, v * power[:, None]))
+    assert len(plain) == 10 and scaled == plain
+
+
 def test_repeated_passages(spark):
     random.seed(8)
     word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
