@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .selection import first_reason
 
 #: Part of every chunk's identity; raised when the rules change.
 VERSION = "windows-2"
@@ -158,3 +159,43 @@ def pack_shards(sizes: list[int], per_shard: int, max_bytes: int) -> list[int]:
         out.append(shard)
         count, filled = count + 1, filled + n
     return out
+
+
+# Why a chunk is refused, in the order in which it is looked for.
+CHUNK_REASONS = [
+    "book_mismatch", "invalid_chunk_id", "empty_text", "invalid_text_utf8", "invalid_chapter_utf8", "invalid_section_utf8", "content_sha256_mismatch",
+    "invalid_page_start", "invalid_page_range", "page_end_exceeds_manifest", "unexpected_order", "invalid_token_range", "token_span_exceeds_maximum",
+    "extraction_version_mismatch", "normalization_version_mismatch", "tokenizer_version_mismatch", "chunking_version_mismatch", "structure_version_mismatch",
+]
+#: The versions that a chunk and its batch have to share.
+VERSIONS = ["extraction", "normalization", "tokenizer", "chunking", "structure"]
+
+
+def chunk_reasons(chunks: DataFrame, work: DataFrame) -> DataFrame:
+    """Per chunk: batch_id, line, chunk_id, reason; null where the chunk is sound.
+
+    ``chunks`` has batch_id, line (its place in the batch, from 0), book_id,
+    chunk_id, chunk_order, text, chapter, section, content_sha256 (hex),
+    page_start, page_end, token_start, token_end and ``VERSIONS``; ``work`` has
+    one row for each batch: batch_id, book_id, first_order, manifest_pages,
+    maximum_tokens and ``VERSIONS``.  Texts are judged where they lie; only
+    verdicts and numbers meet the batch in the join.
+
+    Defined cases: a null text is empty, a null chapter or section is sound; any
+    other null fails the check that needs it; a chunk of an unknown batch is
+    ``book_mismatch``; other columns are ignored.
+    """
+    sound = lambda c: F.is_valid_utf8(F.coalesce(c, F.lit("")))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    kept = ["batch_id", "line", "chunk_id", "chunk_order", "page_start", "page_end", "token_start", "token_end", F.col("book_id").alias("own_book")]
+    texts = [(F.coalesce("text", F.lit("")) == "").alias("empty"), (F.lower("content_sha256") == digest).alias("same_digest"), *[sound(c).alias(f"sound_{c}") for c in ("text", "chapter", "section")]]
+    slim = chunks.select(*kept, *texts, *[F.col(v).alias(f"own_{v}") for v in VERSIONS])
+    both = slim.join(work.select("batch_id", "book_id", "first_order", "manifest_pages", "maximum_tokens", *VERSIONS), "batch_id", "left")
+    c = F.col
+    holds = [
+        c("own_book") == c("book_id"), c("chunk_id").rlike(r"\A[A-Za-z0-9_:-]{1,256}\z"), ~c("empty"), c("sound_text"), c("sound_chapter"), c("sound_section"), c("same_digest"),
+        c("page_start") >= 1, c("page_end") >= c("page_start"), c("page_end") <= c("manifest_pages"), c("chunk_order") == c("first_order") + c("line"),
+        c("token_end") > c("token_start"), c("token_end") - c("token_start") <= c("maximum_tokens"), *[c(f"own_{v}") == c(v) for v in VERSIONS],
+    ]
+    checks = [(~F.coalesce(ok, F.lit(False)), name) for ok, name in zip(holds, CHUNK_REASONS, strict=True)]
+    return both.select("batch_id", "line", "chunk_id", first_reason(checks).alias("reason"))

@@ -115,12 +115,18 @@ def chunk_sequence_check(t):
     return p.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("page_no") > F.col("before") + 1).alias("n_gaps"), F.count_if(F.col("page_no") <= F.col("before")).alias("n_repeats"), F.count_if(F.col("before").isNull() & (F.col("page_no") != 1)).alias("n_late"))
 
 
-@query(r"""SELECT evidence_id, CASE WHEN NOT regexp_full_match(evidence_id, '[A-Za-z0-9_:-]{1,256}') THEN 'identifier' WHEN page_start < 1 THEN 'page_start' WHEN page_end < page_start THEN 'page_range'
-WHEN trim(passage) = '' THEN 'empty' WHEN length(passage) > 2000 THEN 'too_long' WHEN year > 2020 THEN 'year' END AS reason FROM v_evidence""")
+@query(r"""SELECT book_id, page_no, CASE WHEN text = '' THEN 'empty_text' WHEN page_no < 1 THEN 'invalid_page_start' WHEN page_no > pages THEN 'page_end_exceeds_manifest' WHEN n = 0 THEN 'invalid_token_range' WHEN n > 64 THEN 'token_span_exceeds_maximum' END AS reason
+FROM (SELECT book_id, page_no, coalesce(text, '') AS text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '')) AS n FROM v_pages) p JOIN (SELECT book_id, count(*) AS pages FROM v_pages GROUP BY 1) m USING (book_id)""")
 def chunk_reason(t):
-    c = F.col
-    checks = [(~c("evidence_id").rlike("^[A-Za-z0-9_:-]{1,256}$"), "identifier"), (c("page_start") < 1, "page_start"), (c("page_end") < c("page_start"), "page_range"), (F.trim("passage") == "", "empty"), (F.length("passage") > 2000, "too_long"), (c("year") > 2020, "year")]
-    return V.evidence(t).select("evidence_id", selection.first_reason(checks).alias("reason"))
+    """Pages taken as chunks of 64 words at most, a book being one batch: the first check of 18 that a chunk fails."""
+    own = [F.lit("1").alias(v) for v in chunking.VERSIONS]
+    n = F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != ""))
+    place = [F.col("book_id").alias("batch_id"), (F.col("page_no") - 1).alias("line"), (F.col("page_no") - 1).alias("chunk_order"), F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end")]
+    text = ["text", F.lit("").alias("chapter"), F.lit("").alias("section"), F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"), F.lit(0).alias("token_start"), n.alias("token_end")]
+    chunks = V.pages(t).select("book_id", F.concat_ws("-", "book_id", "page_no").alias("chunk_id"), *place, *text, *own)
+    work = V.pages(t).groupBy("book_id").agg(F.count(F.lit(1)).alias("manifest_pages")).select("book_id", F.col("book_id").alias("batch_id"), "manifest_pages", F.lit(0).alias("first_order"), F.lit(64).alias("maximum_tokens"), *own)
+    found = chunking.chunk_reasons(chunks, work)
+    return found.select(F.col("batch_id").alias("book_id"), (F.col("line") + 1).cast("int").alias("page_no"), "reason")
 
 
 @query("SELECT book_id, page_no, substr(sha256(concat_ws(chr(0), book_id, page_no, page_no, page_no, 0, length(text), '', '', sha256(text), '64/8/2', 'windows-2')), 1, 32) AS chunk_id FROM v_pages")

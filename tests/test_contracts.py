@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions import websearch
+from quirefold.operators import chunking
 from quirefold.plans import contracts, lifecycle
 
 
@@ -63,3 +64,24 @@ def test_selected_evidence_fits_and_is_known(spark, sf):
     for rows in by_query.values():
         assert sorted(r["place"] for r in rows) == list(range(len(rows))) and len({r["evidence_id"] for r in rows}) == len(rows) <= 8
     assert {(r["query_id"], r["evidence_id"]) for r in picked} <= fused
+
+
+def test_every_reason_of_a_chunk(spark):
+    sha = hashlib.sha256(b"some words").hexdigest()
+    good = {"batch_id": "b1", "line": 0, "book_id": "book-1", "chunk_id": "c:1", "chunk_order": 8, "text": b"some words", "chapter": b"", "section": None, "content_sha256": sha, "page_start": 2, "page_end": 3, "token_start": 5, "token_end": 9} | dict.fromkeys(chunking.VERSIONS, "v1")
+    wrong = [
+        {"book_id": "book-2"}, {"chunk_id": "c/1\n"}, {"text": None}, {"text": b"\xff"}, {"chapter": b"\xc3"}, {"section": b"\xe2\x82"}, {"content_sha256": sha[1:]},
+        {"page_start": 0}, {"page_end": 1}, {"page_end": 5}, {"chunk_order": None}, {"token_end": 5}, {"token_end": 16}, *[{v: "v2"} for v in chunking.VERSIONS],
+    ]
+    cases = [({}, None), ({"batch_id": "b9"}, "book_mismatch"), ({"chunk_id": "x" * 257}, "invalid_chunk_id"), ({"chunk_id": "c:1\n"}, "invalid_chunk_id"), ({"text": b"", "page_start": 0}, "empty_text"), ({"token_end": 15}, None)]
+    cases += list(zip(wrong, chunking.CHUNK_REASONS, strict=True))
+    rows = [tuple((good | change | {"batch_id": change.get("batch_id", "b1")}).values()) for change, _ in cases]
+    types = {"line": "int", "chunk_order": "int", "page_start": "int", "page_end": "int", "token_start": "int", "token_end": "int", "text": "binary", "chapter": "binary", "section": "binary"}
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], ", ".join(["case int", *[f"{n} {types.get(n, 'string')}" for n in good]]))
+    for c in ("text", "chapter", "section"):
+        d = d.withColumn(c, F.col(c).cast("string"))
+    d = d.withColumn("line", F.col("case")).withColumn("chunk_order", F.col("chunk_order") + F.col("case"))
+    work = spark.createDataFrame([("b1", "book-1", 8, 4, 10, *["v1"] * 5)], ", ".join(["batch_id string", "book_id string", "first_order int", "manifest_pages int", "maximum_tokens int", *[f"{v} string" for v in chunking.VERSIONS]]))
+    got = {r["line"]: r["reason"] for r in chunking.chunk_reasons(d, work).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+    assert chunking.chunk_reasons(d.limit(0), work).count() == 0
