@@ -64,9 +64,13 @@ def evidence(t: Table) -> DataFrame:
     )
 
 
+def chunk_evidence_id(label: str, vec_id: str):
+    return F.concat(F.lit("vjob-"), F.col(label).cast("string"), F.lit(":c"), F.col(vec_id).cast("string"))
+
+
 def chunk_vectors(t: Table) -> DataFrame:
     return t("embeddings").select(
-        F.concat(F.lit("vjob-"), F.col("label").cast("string"), F.lit(":c"), F.col("vec_id").cast("string")).alias("evidence_id"), _id("c", "vec_id").alias("chunk_id"),
+        chunk_evidence_id("label", "vec_id").alias("evidence_id"), _id("c", "vec_id").alias("chunk_id"),
         _id("vjob-", "label").alias("job_id"), _id("vbook-", "label").alias("book_id"), F.concat(F.lit("author "), (F.col("label") % 3).cast("string")).alias("author_norm"),
         (F.lit(2000) + F.col("vec_id") % 25).cast("int").alias("year"), F.array(F.concat(F.lit("t"), (F.col("vec_id") % 2).cast("string")), F.concat(F.lit("u"), (F.col("vec_id") % 3).cast("string"))).alias("tags_norm"),
         (F.col("vec_id") % 40 + 1).cast("int").alias("page_start"), (F.col("vec_id") % 40 + 2).cast("int").alias("page_end"), "vec_id", "label", "embedding",
