@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import websearch
+from ..operators import blocks
 from ..operators.selection import first_reason
 from ..sources import tables as V
 from .registry import query
@@ -262,7 +263,8 @@ def selection_timeout(t):
 @query("SELECT query_id, evidence_id FROM v_scored WHERE score >= (query_id % 300) / 1000.0")
 def answer_visibility(t):
     """Passages at or above the least score that their own request asks for."""
-    return _scored(t).where(F.col("score") >= (F.col("query_id") % 300) / 1000).select("query_id", "evidence_id")
+    asked = V.query_vectors(t).withColumn("least", (F.col("query_id") % 300) / 1000)
+    return blocks.reaching(V.chunk_vectors(t), asked, "evidence_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(max(arrival - before) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) + before AS BIGINT) AS granted_at FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_linenumber * 25 AS arrival, coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem)""")
