@@ -13,7 +13,6 @@ from ..operators import blocks
 from ..operators.selection import first_reason
 from ..sources import tables as V
 from .registry import query
-from .search import _scored
 
 NOW = "1998-01-01 00:00:00"
 
@@ -133,7 +132,8 @@ def batch_completion(t):
 @query("SELECT query_id, book_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, book_id) AS BIGINT) AS position FROM (SELECT query_id, book_id, max(score) AS score FROM v_scored WHERE score >= 0 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, book_id) <= 5")
 def documents_trimmed(t):
     """The five best books of each query by their best passage, in order again after the cut."""
-    best = _scored(t).where("score >= 0").groupBy("query_id", "book_id").agg(F.max("score").alias("score"))
+    each = blocks.nearest(V.chunk_vectors(t), V.query_vectors(t), "vec_id", 1, "book_id")
+    best = each.where("score >= 0").groupBy("query_id", "book_id").agg(F.max("score").alias("score"))
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "book_id"))
     return best.withColumn("position", at.cast("long")).where("position <= 5").select("query_id", "book_id", "score", "position")
 
