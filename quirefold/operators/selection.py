@@ -18,8 +18,11 @@ COLOPHON = r"(?i)^(colophon|typeface|printed (and bound )?by)"
 DEDICATION = r"(?i)^(for|to)\s+[A-Za-z][A-Za-z .'’-]{0,80}$"
 
 
-def classify(items: DataFrame) -> DataFrame:
-    """Candidates of ``items(book_id, ordinal, pos, label, layer, text)``: book_id, ordinal, reason, signals, keep."""
+def classify(items: DataFrame, only: tuple[int, ...] | None = None) -> DataFrame:
+    """Candidates of ``items(book_id, ordinal, pos, label, layer, text)``: book_id, ordinal, reason, signals, keep.
+
+    The first of the ten rules that holds decides; ``only`` names rules by their place, from 0, if not all apply.
+    """
     words = F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), 0))
     body = (F.col("layer") == "body") & F.col("label").isin("paragraph", "text", "list_item")
     shown = F.trim("text")
@@ -53,6 +56,7 @@ def classify(items: DataFrame) -> DataFrame:
         (c("title") & early & sparse & (c("n_texts") <= 4) & ~protected, "title", "hierarchy,position,layout"),
         (c("furniture") & sparse & (early | late) & c("copyright"), "copyright", "layout,content_shape,position"),
     ]
+    rules = rules if only is None else [rules[i] for i in only]
     choose = lambda k: F.coalesce(*[F.when(r[0], F.lit(r[k])) for r in rules])
     keep = protected | (c("body_words") >= 180) | (c("body_blocks") >= 3)
     return place.select("book_id", "ordinal", choose(1).alias("reason"), choose(2).alias("signals"), keep.alias("keep")).where("reason IS NOT NULL")

@@ -85,3 +85,17 @@ def test_every_reason_of_a_chunk(spark):
     got = {r["line"]: r["reason"] for r in chunking.chunk_reasons(d, work).collect()}
     assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
     assert chunking.chunk_reasons(d.limit(0), work).count() == 0
+
+
+@pytest.mark.parametrize("name,reasons", [("layout_classify", []), ("layout_reasons", ["dedication_ornamental"])])
+def test_layout_rules_are_those_of_the_sql(spark, tmp_path, name, reasons):
+    from quirefold.catalogue import ORACLE, QUERIES
+
+    from .compare import connect, same
+
+    words = " ".join(["word"] * 6)
+    text = "\n".join([words] * 4 + ["To ersh."] * 4)
+    spark.createDataFrame([(7, text, "en", "src")], "doc_id long, text string, lang string, source string").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert [r for r in got["reason"] if r != "title"] == reasons
+    same(got, connect(str(tmp_path)).execute(ORACLE[name]).df())
