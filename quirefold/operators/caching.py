@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine
 
@@ -17,8 +18,9 @@ def entries(stored: DataFrame, ttl: int) -> DataFrame:
     Ties in time go to the smaller id.
     """
     keys = [*EXACT, *[k for k in NEGATIVE if k not in EXACT]]
-    first = F.min_by(F.struct("entry_id", "asked_at", "relevant", "embedding", *keys[3:]), F.struct("asked_at", "entry_id")).alias("e")
-    kept = stored.groupBy(*EXACT).agg(first).select(*EXACT, "e.*")
+    # A window, as its unused columns are not read; embeddings in an aggregate would travel for exact hits too.
+    first = F.row_number().over(Window.partitionBy(*EXACT).orderBy("asked_at", "entry_id"))
+    kept = stored.withColumn("nth", first).where("nth = 1").select(*EXACT, "entry_id", "asked_at", "relevant", "embedding", *keys[3:])
     return kept.withColumnRenamed("asked_at", "stored_at").withColumn("expires_at", F.col("stored_at") + ttl)
 
 

@@ -131,3 +131,15 @@ def test_cache_lookup(spark):
     got = caching.lookup(spark.createDataFrame([a[:-1] for a in asked], f"request_id int, asked_at int, embedding array<double>, {keys}").repartition(3), kept)
     assert {r["request_id"]: (r["entry_id"], r["outcome"]) for r in got.collect()} == {a[0]: a[-1] for a in asked}
     assert caching.lookup(got.sparkSession.createDataFrame([], f"request_id int, asked_at int, embedding array<double>, {keys}"), kept).count() == 0
+
+
+def test_cache_lookup_joins_no_texts(spark, sf):
+    from quirefold.catalogue import QUERIES
+
+    def joins(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        own = [node.output().mkString(",")] if node.nodeName() == "Join" else []
+        return own + [x for c in children for x in joins(c)]
+
+    found = joins(QUERIES["assessment_cache_lookup"](spark, sf)._jdf.queryExecution().optimizedPlan())
+    assert found and not [x for x in found if "text#" in x]
