@@ -64,6 +64,12 @@ def evidence(t: Table) -> DataFrame:
     )
 
 
+def generations(t: Table, p: DataFrame) -> DataFrame:
+    """Rows of pages (book_id, page_no, more) once for each evidence that the page is: with its evidence_id."""
+    j, b = index_jobs(t).select("book_id", "job_id"), books(t).select("book_id")
+    return p.join(j, "book_id").join(b, "book_id").withColumn("evidence_id", F.concat("job_id", F.lit(":p"), F.col("page_no").cast("string")))
+
+
 def chunk_evidence_id(label: str, vec_id: str):
     return F.concat(F.lit("vjob-"), F.col(label).cast("string"), F.lit(":c"), F.col(vec_id).cast("string"))
 
